@@ -68,10 +68,11 @@ def _cut(path: str, capacity: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, 4096):
             rows = []
-            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                ids = code.encode(text) + end
+            found = code.encode_column(batch.column("text"))
+            for doc, row, ids in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), found, strict=True):
+                ids += end
                 n = len(ids) // 4
                 rows += [(doc, row, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
             columns = list(zip(*rows, strict=True)) or [[]] * 6

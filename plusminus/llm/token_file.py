@@ -121,14 +121,14 @@ def _write(folder: str, path: str, end_id: int):
         # Each attempt of a task has its own file; only the one whose manifest row Spark commits is ever read.
         code, part, out, file = encoder(path), TaskContext.get().partitionId(), None, None
         where = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.zst"
-        for batch in slices(batches):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for batch in slices(batches, 4096):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), code.encode_column(batch.column("text")), strict=True):
                 if out is None:
                     fs, local = file_system(where)
                     fs.create_dir(local.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(local, compression=None)
                     file = FileWriter(out, 2 if code.size <= 1 << 16 and end_id < 1 << 16 else 4)
-                file.add(doc, np.frombuffer(code.encode(text) + end, "<u4"))
+                file.add(doc, np.frombuffer(ids + end, "<u4"))
         if out is not None:
             file.close()
             out.close()

@@ -11,19 +11,26 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from plusminus.llm.common import pieces
 
 END_ID = 1
-#: Chunks and pre-tokens kept in each Python worker, in two generations each; about 150 MB.
-KEPT = 250_000
+#: Chunks, and pre-tokens, kept in each Python worker, in two generations each; about 200 MB in all.
+KEPT = 300_000
 #: Pre-tokens of one call of the library.
 BLOCK = 2_000
-#: The vocabulary's own pre-token pattern (fixed value).
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Chunks that hold a character beyond these, or the mark of a special token, go to the library whole.
-PLAIN = regex.compile(r"[!-~¡-ɏ]+")
+#: The vocabulary's own pre-token pattern (fixed value), and the line ends that stand between chunks here.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
+#: Chunks that hold a character beyond these go to the library whole, and so do those with the mark of a special token.
+PLAIN = regex.compile(r"[!-~¡-ɏ\n]*")
+SPECIAL = "<|"
+#: Bytes of text of one step; texts of more are cut.
+SLICE = 8 << 20
+#: Stands between chunks in a run of ids; no vocabulary has this id.
+BETWEEN = b"\xff\xff\xff\xff"
 
 
 def default_path() -> str:
@@ -50,37 +57,80 @@ class WordEncoder:
         self.kept, self.chunks, self.tokens, self.old_chunks, self.old_tokens = kept, {}, {}, {}, {}
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(self._piece(p) for p in pieces(text.encode("utf-8", "surrogatepass"))) if text else b""
-
-    def _piece(self, data: bytes) -> bytes:
-        words, chunks = data.split(), self.chunks
-        if missing := {w for w in words if w not in chunks}:
-            if len(chunks) > self.kept:
-                self.old_chunks, self.chunks = chunks, {}
-                chunks, missing = self.chunks, set(words)
-            old = self.old_chunks
-            chunks.update({w: old[w] for w in missing if w in old})
-            self._learn([w for w in missing if w not in chunks])
-        return b"".join([chunks[w] for w in words])
+        return self.encode_column(pa.array([text], pa.string()))[0]
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of an Arrow column; a null is empty. Long texts are worked on piece by piece."""
+        texts = texts.fill_null("")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        out: list[bytes] = []
+        start = 0
+        while start < len(texts):
+            if sizes[start] > SLICE:
+                cut = pieces(texts[start].as_py().encode())
+                out.append(b"".join(self._encode(pa.array([p], pa.binary()).cast(pa.string()))[0] for p in cut))
+                start += 1
+                continue
+            end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), SLICE, "right")))
+            out += self._encode(texts.slice(start, end - start))
+            start = end
+        return out
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        words = pc.ascii_split_whitespace(texts)
+        ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+        distinct = words.flatten().dictionary_encode()
+        found = self._of(distinct.dictionary.cast(pa.binary()).to_pylist())
+        index = distinct.indices.to_numpy()
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, taken = np.cumsum(sizes) - sizes, sizes[index]
+        after = np.cumsum(taken)
+        ids = ids[np.repeat(starts[index] - (after - taken), taken) + np.arange(after[-1] if len(after) else 0)]
+        bounds = np.concatenate([[0], after])[ends].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
+
+    def _of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some distinct chunks."""
+        found = list(map(self.chunks.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            if len(self.chunks) > self.kept:
+                self.old_chunks, self.chunks = self.chunks, {}
+            new = [words[i] for i in missing]
+            again = [w for w in new if w in self.old_chunks]
+            self.chunks.update(zip(again, map(self.old_chunks.__getitem__, again), strict=True))
+            self._learn([w for w in new if w not in self.chunks])
+            for i in missing:
+                found[i] = self.chunks[words[i]]
+        return found
 
     def _learn(self, new: list[bytes]) -> None:
-        cut: dict[bytes, list[str]] = {}
-        for raw in new:
-            chunk = raw.decode()
-            if PLAIN.fullmatch(chunk) and "<|" not in chunk:
-                shape = chunk.lower()  # none of these characters changes under NFC
-                cut[raw] = [shape] if shape.isalpha() else PRE_TOKEN.findall(shape)
-            else:
-                self.chunks[raw] = np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        needed = {t for ts in cut.values() for t in ts}
+        new = [w for w in new if w]
+        self.chunks[b""] = b""
+        if not new:
+            return
+        text = b"\n".join(new).decode("utf-8", "surrogatepass")
+        if SPECIAL in text or not PLAIN.fullmatch(text):
+            plain = [w for w in new if PLAIN.fullmatch(c := w.decode("utf-8", "surrogatepass")) and SPECIAL not in c]
+            for w in set(new).difference(plain):
+                self.chunks[w] = np.array(self.whole.encode(w.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
+            new, text = plain, b"\n".join(plain).decode()
+            if not new:
+                return
+        flat = PRE_TOKEN.findall(text.lower())  # none of these characters changes under NFC
+        distinct = set(flat)
         if len(self.tokens) > self.kept:
             self.old_tokens, self.tokens = self.tokens, {}
-        self.tokens.update({t: self.old_tokens[t] for t in needed if t not in self.tokens and t in self.old_tokens})
-        missing = [t for t in needed if t not in self.tokens]
+        self.tokens["\n"] = BETWEEN
+        missing = distinct.difference(self.tokens)
+        again = [t for t in missing if t in self.old_tokens]
+        self.tokens.update(zip(again, map(self.old_tokens.__getitem__, again), strict=True))
+        missing = list(missing.difference(again))
         for start in range(0, len(missing), BLOCK):
             self._merge(missing[start : start + BLOCK])
-        for raw, ts in cut.items():
-            self.chunks[raw] = self.tokens[ts[0]] if len(ts) == 1 else b"".join([self.tokens[t] for t in ts])
+        found = b"".join(map(self.tokens.__getitem__, flat)).split(BETWEEN)
+        self.chunks.update(zip(new, found, strict=True))
 
     def _merge(self, block: list[str]) -> None:
         ids = np.array(self.merges.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
