@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 LOG_PATTERN = r'^\s*(\S+)\s+\S+\s+([^\[]*)\[([^\]]*)\][^"]*"([^"]+)"\s*(\S+)\s+(\S+)[^"]*"([^"]*)"(?:[^"]*"([^"]*)")?'
 LOG_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 #: Paths that scanners for weak spots ask for (fixed values).
-ATTACK_PREFIXES = ("/w00tw00t", "/phpMyAdmin", "/pma", "/myadmin", "/MyAdmin", "/phpTest", "/cgi-bin/php", "/cgi-bin/php5", "/cgi-bin/php4")
+ATTACK_PREFIXES = ("/w00tw00t", "/phpMyAdmin", "/pma", "/myadmin", "/MyAdmin", "/phpTest", "/cgi-bin/php", "/cgi-bin/php5", "/cgi-bin/php-cgi")
 
 
 def parse_log(line: Column) -> dict[str, Column]:
