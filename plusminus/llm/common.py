@@ -42,6 +42,11 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str) -> str:
+    """A column name that no input has."""
+    return f"__{name}_{uuid.uuid4().hex}"
+
+
 def text_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id as long and text alone; other columns, whatever their names, stay out."""
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))

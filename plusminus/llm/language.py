@@ -176,6 +176,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return text_of(docs).mapInArrow(run, SCHEMA)
 
 
+def recognised(model: Model, text: str = "text"):
+    """A column: whether a text has a letter and a language whose codeword is clearly the nearest; false for a null."""
+
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        return pa.array([found != UNKNOWN and not ambiguous for found, _, ambiguous in map(model.predict, (x.as_py() for x in texts))], pa.bool_())
+
+    return known(F.col(text).cast("string"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, train(docs))

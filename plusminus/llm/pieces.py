@@ -1,4 +1,4 @@
-"""A SentencePiece vocabulary and the recurrence that chooses the pieces of a text.
+"""A SentencePiece vocabulary: its pieces, which of them follow each other, and decoding.
 
 Both models of the library are served. In a unigram model the best way to a position is the one of the highest sum of
 scores. In a merge model (BPE) scores are ranks of merges and their sum means nothing: there the last piece of the
@@ -112,28 +112,10 @@ class Vocabulary:
         raw = [self.bytes.get(b) for b in piece.encode("utf-8", "surrogatepass")]
         return [self.unknown] if None in raw else raw
 
-    def better(self, new: tuple, old: tuple | None) -> bool:
-        return old is None or new[0] > old[0]
-
-    def step(self, text: str, start: int, end: int, before: tuple | None) -> tuple | None:
-        """State at end by the edge text[start:end] from the state at start: (score, start, pieces, last piece), or None.
-
-        A state before the text is (0.0, -1, 0, "").
-        """
-        piece = text[start:end]
-        known = piece in self.ids
-        if before is None or (not known and end - start > 1):
-            return None
-        if self.kind == BPE:
-            if before[3] and not self.follows(before[3], piece):
-                return None
-            score = before[0]
-        else:
-            score = before[0] + (self.scores[self.ids[piece]] if known else self.unknown_score)
-        return score, start, before[2] + 1, piece
-
     def decode(self, ids: list[int]) -> str:
         """Pieces side by side, runs of bytes as UTF-8 (what is none as U+FFFD), blanks for marks, without the first blank."""
+        if self.byte_of.keys().isdisjoint(ids) and self.pieces.keys() >= set(ids):
+            return self._spaced("".join(map(self.pieces.__getitem__, ids)))
         out: list[str] = []
         raw = bytearray()
 
@@ -162,7 +144,10 @@ class Vocabulary:
                 flush()
                 out.append(self.pieces.get(i, " ⁇ " if i == self.unknown else ""))
         flush()
-        text = "".join(out).replace(SPACE, " ")
+        return self._spaced("".join(out))
+
+    def _spaced(self, text: str) -> str:
+        text = text.replace(SPACE, " ")
         return text[1:] if text.startswith(" ") and self.dummy_prefix else text
 
     @functools.cached_property

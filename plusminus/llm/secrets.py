@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import table, text_of
+from plusminus.llm.common import fresh, table, text_of
 
 KINDS = ("assign", "access", "hex")
 #: The base patterns (fixed values); assign's second group needs LEAST["assign"] characters, the others the whole match.
@@ -139,17 +139,47 @@ def discoveries(tested: DataFrame, fdr: float = FDR) -> DataFrame:
     return tested.join(limit, "length_class").filter(F.col("step") <= F.col("limit"))
 
 
+def random_runs(docs: DataFrame) -> DataFrame:
+    """(row, found): for rows with any, the runs that the battery finds, as (start, end, kind, body); docs has row and text."""
+    runs = docs.filter(F.col("text").rlike(CANDIDATE)).select("row", base_spans(F.col("text")).alias("base"), matches(F.col("text"), CANDIDATE, "random").alias("runs"))
+    free = F.filter("runs", lambda r: ~F.exists(F.col("base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    runs = runs.select("row", F.explode(free).alias("m")).select("row", "m", F.col("m")["body"].alias("body"))
+    return discoveries(battery(runs)).groupBy("row").agg(F.collect_list("m").alias("found"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, row (place in the input), base and found: arrays of (start, end, kind, body) of base and random spans.
 
     docs: read from files, so that two scans number its rows alike.
     """
     rows = text_of(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    runs = rows.filter(F.col("text").rlike(CANDIDATE)).select("row", base_spans(F.col("text")).alias("base"), matches(F.col("text"), CANDIDATE, "random").alias("runs"))
-    free = F.filter("runs", lambda r: ~F.exists(F.col("base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    runs = runs.select("row", F.explode(free).alias("m")).select("row", "m", F.col("m")["body"].alias("body"))
-    found = discoveries(battery(runs)).groupBy("row").agg(F.collect_list("m").alias("found"))
-    return rows.select("doc_id", "row", base_spans(F.col("text")).alias("base")).join(found, "row", "left").withColumn("found", F.coalesce("found", F.array()))
+    return rows.select("doc_id", "row", base_spans(F.col("text")).alias("base")).join(random_runs(rows), "row", "left").withColumn("found", F.coalesce("found", F.array()))
+
+
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("next"))
+
+    def step(s: Column, m: Column) -> Column:
+        gap = F.concat(F.substring(text, s["next"].cast("int") + 1, F.greatest(m["start"] - s["next"], F.lit(0)).cast("int")), F.lit(mask))
+        return F.struct(F.when(m["start"] >= s["next"], F.concat(s["out"], gap)).otherwise(s["out"]).alias("out"), F.greatest(s["next"], m["end"]).alias("next"))
+
+    whole = F.aggregate(F.array_sort(spans), start, step, lambda s: F.concat(s["out"], F.substring(text, s["next"].cast("int") + 1, F.lit((1 << 31) - 1))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def masked(docs: DataFrame, mask: str) -> DataFrame:
+    """docs with every found span of text replaced by mask, overlapping spans by one; all rows and columns stay, nulls too.
+
+    docs: read from files, so that two scans number its rows alike. Only rows with a candidate run are joined.
+    """
+    row, base, found = fresh("row"), fresh("base"), fresh("found")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    may = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
+    runs = random_runs(numbered.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))).select(F.col("row").alias(row), F.col("found").alias(found))
+    plain = numbered.filter(~may).withColumn(base, base_spans(F.col("text")))
+    tested = numbered.filter(may).join(runs, row, "left").withColumn(base, F.concat(base_spans(F.col("text")), F.coalesce(F.col(found), F.array())))
+    both = [x.withColumn("text", _masked(F.col("text"), F.col(base), mask)).select(*docs.columns) for x in (plain, tested)]
+    return both[0].unionByName(both[1])
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import saved, slices, table, text_of, word_lists
+from plusminus.llm.common import fresh, saved, slices, table, text_of, word_lists
 from plusminus.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -185,6 +185,15 @@ def links(nodes: DataFrame, radius: int = RADIUS, words64: int = 1, tile: int =
     return joined.repartition(tasks, "tile", "other").mapInArrow(_compare(radius, words64), "u array<long>, v array<long>")
 
 
+def _least_of_component(prints: DataFrame, least: Column, radius: int, words64: int, tile: int) -> DataFrame:
+    """(fp, least): the least value of a column over the whole component of each distinct fingerprint."""
+    nodes = saved(prints.groupBy("fp").agg(F.min(least).alias("least")), "nodes")
+    found = components(links(nodes.select("fp"), radius, words64, tile)).withColumnRenamed("u", "fp")
+    rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of_root = rooted.groupBy("root").agg(F.min("least").alias("of_root"))
+    return rooted.join(of_root, "root").select("fp", F.col("of_root").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, words64: int = 1, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """For each row of docs: doc_id, fp (64-bit words) and component_id, the smallest doc_id that links lead to.
 
@@ -193,12 +202,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     rows alone has a null component_id. Repeated rows each give a row. An empty table gives no rows.
     """
     prints = saved(fingerprints(docs, shingle, words64, seed), "fingerprints")
-    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(links(nodes.select("fp"), radius, words64, tile)).withColumnRenamed("u", "fp")
-    rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(of_node, "fp").select("doc_id", "fp", "component_id")
+    least = _least_of_component(prints, F.col("doc_id"), radius, words64, tile)
+    return prints.join(least, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, words64: int = 1, seed: int = SEED, tile: int = TILE) -> DataFrame:
+    """docs with one row of each component: the one of the smallest (doc_id, place in the input); a null doc_id comes last.
+
+    docs: read from files, so that two scans number its rows alike. Columns stay as they are.
+    """
+    row = fresh("row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    # The place takes the part of the id through the fingerprints; ids are looked up by it.
+    prints = saved(fingerprints(numbered.select(F.col(row).alias("doc_id"), "text"), shingle, words64, seed).withColumnRenamed("doc_id", "row"), "fingerprints")
+    prints = prints.join(numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id")), "row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    kept = _least_of_component(prints, order, radius, words64, tile).select(F.col("least")["row"].alias(row)).distinct()
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

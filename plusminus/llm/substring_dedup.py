@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import pieces, saved, slices, table
+from plusminus.llm.common import fresh, pieces, slices, table
 
 #: Passages of so many words are to be found; runs of whole repeated chunks count from RUN_WORDS.
 MIN_WORDS, RUN_WORDS = 50, 25
@@ -137,16 +137,19 @@ def mark_repeats(docs: DataFrame, run_words: int = RUN_WORDS, cut_bits: int = CU
 
 
 def without_repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """docs with the repeated passages cut out of text; other columns and all rows stay. A null text stays null."""
-    # The number of a row is written with it, as later scans of docs need not give the same one.
-    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    spans = repeated_spans(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col("text").cast("string").alias("text")), run_words)
-    at = spans.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__at"))
-    pair = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("next"))
-    step = lambda s, x: F.struct(F.concat(s["out"], F.substring(F.col("text"), s["next"].cast("int") + 1, (x["start"] - s["next"]).cast("int"))).alias("out"), x["stop"].alias("next"))
-    left = F.aggregate("__at", pair, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["next"].cast("int") + 1, F.lit((1 << 31) - 1))))
-    cut = rows.join(at, "__row", "left").withColumn("text", F.when(F.col("__at").isNull(), F.col("text")).otherwise(left))
-    return cut.select(*docs.columns)
+    """docs with the repeated passages cut out of text; other columns and all rows stay. A null text stays null.
+
+    docs: read from files, so that two scans number its rows alike.
+    """
+    row, spans = fresh("row"), fresh("spans")
+    found = repeated_spans(numbered(docs), run_words)
+    found = found.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(spans))
+    text, begin = F.col("text"), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("next"))
+    after = lambda s: F.substring(text, s["next"].cast("int") + 1, F.lit((1 << 31) - 1))
+    step = lambda s, x: F.struct(F.concat(s["out"], F.substring(text, s["next"].cast("int") + 1, (x["start"] - s["next"]).cast("int"))).alias("out"), x["stop"].alias("next"))
+    left = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], after(s)))
+    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(found, row, "left")
+    return joined.withColumn("text", F.when(F.col(spans).isNull(), text).otherwise(left)).select(*docs.columns)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 The distinct units of a batch are put one after the other, with a mark between them that no piece holds. A suffix array
 over the first characters of every suffix (as many as the longest piece has) is sorted once. Every piece is then searched
 in it: the first and last suffix that begin with it are found by binary search, for all pieces at once, and these
-suffixes are the piece's occurrences. Occurrences are the edges of a lattice; sorted by where they end they are relaxed
-in one pass, by the recurrence of pieces.Vocabulary.
+suffixes are the piece's occurrences. Occurrences are the edges of a lattice; sorted by how far from the start of their unit they
+end, they are relaxed in one pass, all edges of one distance together (lockstep.States).
 
 A unit is a text's normalized form up to the next blank that follows another character, if no piece of the vocabulary
 reaches over such a place; otherwise it is the whole text. Texts are sequences of units, so a unit is encoded once a batch.
@@ -21,12 +21,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from plusminus.llm.common import slices, table, text_of
+from plusminus.llm.lockstep import Kept, Pairs, States
 from plusminus.llm.pieces import SPACE, Vocabulary, default_path, vocabulary
 
 #: Rows of one batch and characters of its concatenated units; more units make a further array.
 ROWS, CHARACTERS = 1024, 1 << 19
 #: Units kept with their ids in each Python worker.
-KEPT = 150_000
+KEPT = 200_000
+#: Stands between units; no code point and so in no piece.
+BETWEEN = 0x110000
 #: A blank with the characters up to the next blank, or blanks alone.
 UNIT = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, n_byte_tokens long, decoded_crc32 long, round_trip boolean"
@@ -81,23 +84,23 @@ class SuffixArray:
 
 class SuffixEncoder:
     def __init__(self, words: Vocabulary):
-        self.words = words
+        self.words, self.pairs = words, Pairs(words)
         self.patterns = [np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32) for p in words.ids]
-        # Pieces by length and code points, so that those of symbols the batch lacks are left out at once.
+        # Pieces side by side, so that those with a symbol the batch lacks are left out at once.
         self.sizes = np.array([len(p) for p in self.patterns])
         self.flat = np.concatenate(self.patterns) if self.patterns else np.zeros(0, np.uint32)
         self.of = np.repeat(np.arange(len(self.patterns)), self.sizes)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.kept = Kept(KEPT)
+        self.packed: dict[int, bytes] = {}
 
-    def units(self, normalized: str) -> list[str]:
+    def units(self, text: str | None) -> list[str]:
+        normalized = self.words.normalize(text) if text else ""
         return UNIT.findall(normalized) if self.words.splits else [normalized] if normalized else []
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        units = [self.units(self.words.normalize(t)) if t else [] for t in texts]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        waiting = list(dict.fromkeys(u for us in units for u in us if u not in self.known))
-        start = 0
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        units = [self.units(t) for t in texts]
+        waiting, start = self.kept.missing(set().union(*units)), 0
         while start < len(waiting):
             end, size = start, 0
             while end < len(waiting) and (end == start or size + len(waiting[end]) <= CHARACTERS):
@@ -105,54 +108,53 @@ class SuffixEncoder:
                 end += 1
             self._learn(waiting[start:end])
             start = end
-        return [[i for u in us for i in self.known[u]] for us in units]
+        known = self.kept.young.__getitem__
+        return [b"".join(map(known, us)) for us in units]
 
-    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of all occurrences of all pieces, sorted by end and then by start."""
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and numbers of all occurrences of all pieces."""
         array = SuffixArray(codes, self.words.longest)
         there = np.isin(self.flat, array.symbols)
-        whole = np.bincount(self.of[there], minlength=len(self.sizes)) == self.sizes
-        asked = np.flatnonzero(whole)
+        asked = np.flatnonzero(np.bincount(self.of[there], minlength=len(self.sizes)) == self.sizes)
         low, high = array.ranges([self.patterns[i] for i in asked])
         count = high - low
         place = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        starts = array.order[place] if len(place) else np.zeros(0, np.int64)
-        ends = starts + np.repeat(self.sizes[asked], count)
-        sort = np.lexsort((starts, ends))
-        return starts[sort], ends[sort]
+        starts = array.order[place]
+        return starts, starts + np.repeat(self.sizes[asked], count), np.repeat(asked, count)
+
+    def _bytes(self, piece: int) -> bytes:
+        if piece not in self.packed:
+            self.packed[piece] = np.array(self.words.ids_of(self.pairs.names[piece]), "<u4").tobytes()
+        return self.packed[piece]
 
     def _learn(self, units: list[str]) -> None:
-        text = "\n".join(u.replace("\n", "\0") for u in units)
-        # Line ends are no part of any piece; inside a unit they stand as zeros while edges are searched.
-        starts, ends = self.edges(text)
+        sizes = np.array([len(u) for u in units])
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        codes = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        codes[(begins - 1)[1:]] = BETWEEN
+        starts, ends, piece = self.edges(codes)
         # A character that no piece covers has an edge of its own.
-        single = np.zeros(len(text) + 1, bool)
+        single = codes == BETWEEN
         single[starts[ends - starts == 1]] = True
-        lone = np.flatnonzero(~single[: len(text)])
-        starts, ends = np.concatenate([starts, lone]), np.concatenate([ends, lone + 1])
-        sort = np.lexsort((starts, ends))
-        starts, ends = starts[sort].tolist(), ends[sort].tolist()
-        step, better = self.words.step, self.words.better
-        states: list[tuple | None] = [None] * (len(text) + 1)
-        breaks = [0]
-        for u in units:
-            breaks.append(breaks[-1] + len(u) + 1)
-        for b in breaks[:-1]:
-            states[b] = (0.0, -1, 0, "")
-        joined = "\n".join(units)
-        between = set(b - 1 for b in breaks[1:])
-        for i, j in zip(starts, ends, strict=True):
-            if i not in between and (new := step(joined, i, j, states[i])) is not None and better(new, states[j]):
-                states[j] = new
-        for u, b in zip(units, breaks, strict=False):
-            ids: list[int] = []
-            at = b + len(u)
-            while at > b:
-                _, before, _, piece = states[at]
-                ids[:0] = self.words.ids_of(piece)
-                at = before
-            self.known[u] = tuple(ids)
+        lone = np.flatnonzero(~single)
+        numbers = np.array([self.pairs.number(chr(c)) for c in codes[lone].tolist()], np.int64)
+        starts, ends, piece = np.concatenate([starts, lone]), np.concatenate([ends, lone + 1]), np.concatenate([piece, numbers])
+        # Row begins[i] + k stands for the first k characters of unit i; edges are sorted by k, then by end, the longest first.
+        depth = ends - begins[np.searchsorted(begins, starts, "right") - 1]
+        order = np.lexsort((starts, ends, depth))
+        starts, ends, piece = starts[order], ends[order], piece[order]
+        bounds = np.searchsorted(depth[order], np.arange(1, sizes.max() + 2))
+        states = States(len(codes) + 1, self.pairs)
+        states.begin(begins)
+        for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+            states.relax(starts[i:j], piece[i:j], ends[i:j])
+        last, before, packed = states.last.tolist(), states.before.tolist(), self._bytes
+        for unit, begin, size in zip(units, begins.tolist(), sizes.tolist(), strict=True):
+            found, at = [], begin + size
+            while at > begin:
+                found.append(packed(last[at]))
+                at = before[at]
+            self.kept.young[unit] = b"".join(reversed(found))
 
 
 _ENCODERS: dict[str, SuffixEncoder] = {}
@@ -174,7 +176,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in slices(batches, ROWS):
-            ids = code.encode_batch(batch.column("text").to_pylist())
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in code.encode_batch(batch.column("text").to_pylist())]
             yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return text_of(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -201,13 +203,15 @@ def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
+        is_byte = np.zeros(code.words.library.vocab_size(), bool)
+        is_byte[list(code.words.byte_of)] = True
         for batch in slices(batches, ROWS):
             texts = batch.column("text").to_pylist()
             rows = []
-            for text, ids in zip(texts, code.encode_batch(texts), strict=True):
-                back = code.words.decode(ids)
-                raw = sum(i in code.words.byte_of for i in ids)
-                rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), raw, zlib.crc32(back.encode("utf-8", "surrogatepass")), back == (text or "")))
+            for text, packed in zip(texts, code.encode_batch(texts), strict=True):
+                ids = np.frombuffer(packed, "<u4")
+                back = code.words.decode(ids.tolist())
+                rows.append((len(ids), zlib.crc32(packed), int(is_byte[ids].sum()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == (text or "")))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64()] * 4 + [pa.bool_()]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_tokens", "ids_crc32", "n_byte_tokens", "decoded_crc32", "round_trip"])
