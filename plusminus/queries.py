@@ -11,15 +11,13 @@ from plusminus.apps import logs
 from plusminus.conf import ApproxConf, Variance
 from plusminus.functions import text as T
 from plusminus.functions import wiki as W
-from plusminus.functions.stats import MOST_DF, bucket, t_quantile
+from plusminus.functions.stats import MOST_DF, bucket, short_number_column, t_quantile, t_table
 from plusminus.operators import dual, minimum, render, sampling
-from plusminus.operators.estimator import approx_sum, null_key, precise_sum, sample_hits
+from plusminus.operators.estimator import Sampled, approx_sum, estimate, precise_sum, sample_hits
 from plusminus.plans.planner import Known, TimeModel, predicted_error
 from plusminus.plans.progressive import Query, pilot, pilot_then_run, run_waves
 from plusminus.sources import readers
 
-LINK_SEED = 1
-
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -52,7 +50,7 @@ def estimator_sql(source: str, cluster: str, order: str, key: str, value: str =
     hits = f"SELECT unnest({explode}) AS key, cluster, 1 AS v FROM placed WHERE sampled" if explode else f"SELECT ({key})::VARCHAR AS key, cluster, ({value})::DOUBLE AS v FROM placed WHERE sampled"
     null_row = f"""
     UNION ALL SELECT 'NULLKEY', s1, s2hat, sw, TRUE FROM (
-      SELECT pop_m::DOUBLE / smp_m AS s1, (pop_m::DOUBLE / smp_m) ** 2 AS s2hat, coalesce({term.replace("y", "1.0") if False else term}, 0) AS sw
+      SELECT pop_m::DOUBLE / smp_m AS s1, (pop_m::DOUBLE / smp_m) ** 2 AS s2hat, coalesce({term}, 0) AS sw
       FROM (SELECT *, 1.0 AS y FROM stats WHERE smp_m > 0 ORDER BY pop_m * (pop_m - smp_m) / smp_m::DOUBLE DESC, cluster LIMIT 1))""" if unseen else ""
     return f"""
 WITH base AS (SELECT *, ({cluster}) AS cluster FROM ({source})),
@@ -109,7 +107,8 @@ def duck(sql: str) -> str:
 
 
 def lines(spark: SparkSession, d: str, sql: str, name: str) -> DataFrame:
-    return spark.sql(sql.replace(f"FROM {name}", "FROM {t}"), t=table(spark, d, name))
+    """The SQL over one test table; its own braces are doubled, as spark.sql() formats its text."""
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", "FROM {t}"), t=table(spark, d, name))
 
 
 # --- Queries --------------------------------------------------------------------------------------------------------
@@ -160,8 +159,6 @@ def approx_count_by_event_type(s, d):
     conf = ApproxConf(ratio=7, seed=None, offset=3)
     sampled = sample_hits(events.filter(day() % 2 == 0), F.col("event_type"), F.lit(1), day(), [F.col("event_id")], conf)
     total = events.select(F.count_distinct(day())).first()[0]
-    from plusminus.operators.estimator import Sampled, estimate
-
     return estimate(Sampled(sampled.hits, sampled.stats, total), s, conf)
 
 
@@ -446,16 +443,12 @@ def dual_reduce(s, d):
 
 @query("SELECT c, CASE WHEN v > 1000000 THEN printf('%.1fM', v / 1000000.0) WHEN v > 1000 THEN printf('%.1fK', v / 1000.0) ELSE v::BIGINT::VARCHAR END AS text FROM (SELECT c_custkey AS c, floor(abs(c_acctbal) * abs(c_acctbal))::DOUBLE AS v FROM customer)")
 def short_numbers(s, d):
-    from plusminus.functions.stats import short_number_column
-
     rows = table(s, d, "customer").select(F.col("c_custkey").alias("c"), F.floor(F.abs("c_acctbal") * F.abs("c_acctbal")).cast("double").alias("v"))
     return rows.select("c", short_number_column(F.col("v")).alias("text"))
 
 
 @query(f"SELECT df, t FROM {t_values(0, MOST_DF)}")
 def t_quantiles(s, d):
-    from plusminus.functions.stats import t_table
-
     return t_table(s)
 
 
