@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import functools
 import heapq
+import math
+from collections import Counter
 
 import sentencepiece
 
@@ -73,6 +75,8 @@ class Vocabulary:
         self.unknown_score = min(self.scores.values(), default=0.0) - 10.0
         #: No piece holds a blank after another character, so no merge crosses the place before such a blank.
         self.splits = not any(a != SPACE and b == SPACE for p in self.ids for a, b in zip(p, p[1:], strict=False))
+        self.shared = Counter(self.scores.values())
+        self._split: dict[str, tuple[str, str] | None] = {}
         self.follows = functools.lru_cache(1 << 18)(self._follows)
 
     def normalize(self, text: str) -> str:
@@ -102,7 +106,51 @@ class Vocabulary:
             offer(i, right[i])
         return [p for p in parts if p is not None]
 
+    def _time(self, piece: str) -> float:
+        """When a piece is merged: characters are there at the start."""
+        return -math.inf if len(piece) == 1 else -self.scores[self.ids[piece]]
+
+    def _parts(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces whose merge makes a piece; None for a character, and where merging characters doesn't make it."""
+        if piece not in self._split:
+            self._split[piece] = self._last_merge(piece)
+        return self._split[piece]
+
+    def _last_merge(self, piece: str) -> tuple[str, str] | None:
+        if len(piece) < 2 or self.merged(piece) != [piece]:
+            return None
+        time = self._time(piece)
+        for cut in range(1, len(piece)):
+            a, b = piece[:cut], piece[cut:]
+            if all(len(x) == 1 or (x in self.ids and self._time(x) < time and self.merged(x) == [x]) for x in (a, b)) and self._apart(a, b, time):
+                return a, b
+        return None
+
+    def _apart(self, a: str, b: str, limit: float) -> bool:
+        """Whether a and b, side by side and each made by its merges, are still apart when merges from before limit are done.
+
+        Time runs backwards: the later merge of the two that meet is undone, and what then meets may not merge earlier.
+        """
+        inclusive = False
+        while True:
+            if (whole := a + b) in self.ids and ((t := self._time(whole)) < limit or inclusive and t == limit):
+                return False
+            ta, tb = self._time(a), self._time(b)
+            if ta > tb:
+                a, limit, inclusive = self._parts(a)[1], ta, False
+            elif tb > -math.inf:
+                b, limit, inclusive = self._parts(b)[0], tb, True  # of equal merges the left one comes first
+            else:
+                return True
+
+    def _plain(self, piece: str) -> bool:
+        """A character, or a piece of a score of its own that its merges make."""
+        return len(piece) == 1 or (self.shared[self.scores[self.ids[piece]]] == 1 and self._parts(piece) is not None)
+
     def _follows(self, first: str, second: str) -> bool:
+        """Whether the encoding of the two, side by side, is the two."""
+        if self._plain(first) and self._plain(second):
+            return self._apart(first, second, math.inf)
         return self.merged(first + second) == [first, second]
 
     def ids_of(self, piece: str) -> list[int]:

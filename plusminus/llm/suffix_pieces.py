@@ -27,7 +27,7 @@ from plusminus.llm.pieces import SPACE, Vocabulary, default_path, vocabulary
 #: Rows of one batch and characters of its concatenated units; more units make a further array.
 ROWS, CHARACTERS = 1024, 1 << 19
 #: Units kept with their ids in each Python worker.
-KEPT = 200_000
+KEPT = 300_000
 #: Stands between units; no code point and so in no piece.
 BETWEEN = 0x110000
 #: A blank with the characters up to the next blank, or blanks alone.
@@ -40,20 +40,28 @@ class SuffixArray:
 
     def __init__(self, codes: np.ndarray, width: int):
         self.codes, self.width = codes, width
-        symbols, dense = np.unique(codes, return_inverse=True)
-        self.symbols = symbols
-        rank, size = dense.astype(np.int64) + 1, 1  # 0 stands after the end
+        self.symbols, dense = np.unique(codes, return_inverse=True)
+        # As many symbols as fit into a key are sorted at once, 0 standing after the end; then the sorted width is doubled.
+        rank, size, base = dense.astype(np.int64) + 1, 1, len(self.symbols) + 1
+        key = rank
+        while size < width and base ** (size + 1) < 1 << 62:
+            key = key * base
+            key[: max(0, len(key) - size)] += rank[size:]
+            size += 1
+        self.order = np.argsort(key)
         while size < width:
+            rank = self._ranks(key)
             after = np.zeros(len(rank), np.int64)
-            after[: len(rank) - size] = rank[size:]
-            key = rank * (int(rank.max(initial=0)) + 1) + after
-            self.order = np.argsort(key, kind="stable")
-            ordered = key[self.order]
-            rank = np.empty(len(key), np.int64)
-            rank[self.order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]])) if len(key) else 0
+            after[: max(0, len(rank) - size)] = rank[size:]
+            key = rank * (len(rank) + 1) + after
+            self.order = np.argsort(key)
             size *= 2
-        if width <= 1:
-            self.order = np.argsort(rank, kind="stable")
+
+    def _ranks(self, key: np.ndarray) -> np.ndarray:
+        ordered, rank = key[self.order], np.empty(len(key), np.int64)
+        if len(key):
+            rank[self.order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
+        return rank
 
     def ranges(self, patterns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """For each pattern the range [low, high) of the suffixes that begin with it: binary searches, all side by side."""
@@ -90,8 +98,8 @@ class SuffixEncoder:
         self.sizes = np.array([len(p) for p in self.patterns])
         self.flat = np.concatenate(self.patterns) if self.patterns else np.zeros(0, np.uint32)
         self.of = np.repeat(np.arange(len(self.patterns)), self.sizes)
+        self.numbered = np.array(list(words.ids.values()) or [0], np.int64)
         self.kept = Kept(KEPT)
-        self.packed: dict[int, bytes] = {}
 
     def units(self, text: str | None) -> list[str]:
         normalized = self.words.normalize(text) if text else ""
@@ -122,13 +130,20 @@ class SuffixEncoder:
         starts = array.order[place]
         return starts, starts + np.repeat(self.sizes[asked], count), np.repeat(asked, count)
 
-    def _bytes(self, piece: int) -> bytes:
-        if piece not in self.packed:
-            self.packed[piece] = np.array(self.words.ids_of(self.pairs.names[piece]), "<u4").tobytes()
-        return self.packed[piece]
+    def _ids(self, pieces: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, and the unit of each id; a character without a piece has an id for each of its bytes."""
+        known = pieces < len(self.numbered)
+        if known.all():
+            return self.numbered[pieces], units
+        lists = [self.words.ids_of(self.pairs.names[p]) for p in pieces[~known].tolist()]
+        count = np.ones(len(pieces), np.int64)
+        count[~known] = [len(x) for x in lists]
+        ids, is_known = np.repeat(self.numbered[np.where(known, pieces, 0)], count), np.repeat(known, count)
+        ids[~is_known] = [i for x in lists for i in x]
+        return ids, np.repeat(units, count)
 
     def _learn(self, units: list[str]) -> None:
-        sizes = np.array([len(u) for u in units])
+        n, sizes = len(units), np.array([len(u) for u in units])
         begins = np.cumsum(sizes + 1) - sizes - 1
         codes = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         codes[(begins - 1)[1:]] = BETWEEN
@@ -140,21 +155,28 @@ class SuffixEncoder:
         numbers = np.array([self.pairs.number(chr(c)) for c in codes[lone].tolist()], np.int64)
         starts, ends, piece = np.concatenate([starts, lone]), np.concatenate([ends, lone + 1]), np.concatenate([piece, numbers])
         # Row begins[i] + k stands for the first k characters of unit i; edges are sorted by k, then by end, the longest first.
-        depth = ends - begins[np.searchsorted(begins, starts, "right") - 1]
-        order = np.lexsort((starts, ends, depth))
+        depth = ends - np.repeat(begins, sizes + 1)[starts]
+        order = np.argsort((depth * (len(codes) + 1) + ends) * (self.words.longest + 1) + self.words.longest - (ends - starts))
         starts, ends, piece = starts[order], ends[order], piece[order]
         bounds = np.searchsorted(depth[order], np.arange(1, sizes.max() + 2))
         states = States(len(codes) + 1, self.pairs)
         states.begin(begins)
         for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
             states.relax(starts[i:j], piece[i:j], ends[i:j])
-        last, before, packed = states.last.tolist(), states.before.tolist(), self._bytes
-        for unit, begin, size in zip(units, begins.tolist(), sizes.tolist(), strict=True):
-            found, at = [], begin + size
-            while at > begin:
-                found.append(packed(last[at]))
-                at = before[at]
-            self.kept.young[unit] = b"".join(reversed(found))
+        # Back from the ends of all units at once.
+        unit, at, rounds = np.arange(n), begins + sizes, []
+        while len(unit):
+            rounds.append((unit, states.last[at]))
+            at = states.before[at]
+            going = at > begins[unit]
+            unit, at = unit[going], at[going]
+        back = np.concatenate([np.full(len(u), -k) for k, (u, _) in enumerate(rounds)])
+        of_unit, found = (np.concatenate(x) for x in zip(*rounds, strict=True))
+        order = np.lexsort((back, of_unit))
+        ids, of_unit = self._ids(found[order], of_unit[order])
+        packed = ids.astype("<u4").tobytes()
+        cuts = (np.concatenate([[0], np.cumsum(np.bincount(of_unit, minlength=n))]) * 4).tolist()
+        self.kept.young.update(zip(units, [packed[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
 
 
 _ENCODERS: dict[str, SuffixEncoder] = {}

@@ -144,11 +144,11 @@ class WordEncoder:
             self.tokens[token], at = data[at:end], end
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, kept: int = KEPT) -> WordEncoder:
     """One encoder a Python worker and vocabulary; what it has learned serves the worker's later tasks too."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, kept) not in _ENCODERS:
+        _ENCODERS[path, kept] = WordEncoder(path, kept)
+    return _ENCODERS[path, kept]
