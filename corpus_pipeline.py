@@ -24,6 +24,8 @@ from plusminus.llm.common import saved
 #: at a Jaccard similarity of 0.8 they differ by 39 of 256 bits on average (standard deviation 6), at 0.6 by 59.
 SHINGLE, WORDS64, RADIUS = 5, 4, 46
 MASK = "[secret]"
+#: Python workers outlive a stage: what packing remembers stays in their memory beside the other stages' needs.
+KEPT_WORDS = 40_000
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, kept=KEPT_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
