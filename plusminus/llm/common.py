@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -52,6 +55,21 @@ def text_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 
+def released(run: Callable) -> Callable:
+    """run, giving free memory back when a task ends: Python workers wait for later tasks, of other stages too."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to few rows, as Python copies of the texts take several times their size."""
     for batch in batches:

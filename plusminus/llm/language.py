@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import slices, table, text_of
+from plusminus.llm.common import released, slices, table, text_of
 
 ORDERS, BUCKETS = (1, 2, 3, 4), 1 << 14
 #: Labelled texts for training, of all languages together, and the bytes of one: the bound of the sample. Longer texts are not trained on.
@@ -111,6 +111,8 @@ class Model:
 def fit(texts: list[str], langs: list[str]) -> Model:
     languages = sorted(set(langs))
     codes = codewords(len(languages))
+    if not languages:
+        return Model([], codes, np.zeros((len(ORDERS) * BUCKETS, 1), np.float32), np.zeros(1), np.ones(1), np.ones(1))
     counts = np.zeros((len(languages), len(ORDERS) * BUCKETS))
     rows = [(plain(t), languages.index(g)) for t, g in zip(texts, langs, strict=True)]
     for x, g in rows:
@@ -173,15 +175,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores, flags = zip(*found, strict=True) if found else ((), (), ())
             yield pa.record_batch([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return text_of(docs).mapInArrow(run, SCHEMA)
+    return text_of(docs).mapInArrow(released(run), SCHEMA)
 
 
 def recognised(model: Model, text: str = "text"):
     """A column: whether a text has a letter and a language whose codeword is clearly the nearest; false for a null."""
 
+    def judge(columns):
+        for texts in columns:
+            yield pa.array([found != UNKNOWN and not ambiguous for found, _, ambiguous in map(model.predict, (x.as_py() for x in texts))], pa.bool_())
+
+    judge = released(judge)
+
     @F.arrow_udf("boolean")
-    def known(texts: pa.Array) -> pa.Array:
-        return pa.array([found != UNKNOWN and not ambiguous for found, _, ambiguous in map(model.predict, (x.as_py() for x in texts))], pa.bool_())
+    def known(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from judge(columns)
 
     return known(F.col(text).cast("string"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import slices, table, text_of
+from plusminus.llm.common import released, slices, table, text_of
 from plusminus.llm.word_tokens import END_ID, KEPT, default_path, encoder
 
 LENGTH = 2048
@@ -104,7 +104,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, group
     """
     groups = max(1, -(-docs.count() // group_rows))
     rows = text_of(docs).withColumn("row", F.monotonically_increasing_id())
-    cut = rows.mapInArrow(_cut(path or default_path(), capacity, end_id, kept), PIECES)
+    cut = rows.mapInArrow(released(_cut(path or default_path(), capacity, end_id, kept)), PIECES)
     bucket = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups))
     return cut.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_pack(capacity), PACKED)
 
