@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import fresh, saved, slices, table, text_of, word_lists
+from plusminus.llm.common import fresh, released, saved, slices, table, text_of, word_lists
 from plusminus.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words64: int = 1, seed
             found = np.array([fingerprint(x, shingle, words64, seed) for x in batch.column("text").to_pylist()], np.uint64).astype(np.int64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(list(found.reshape(batch.num_rows, words64)), pa.list_(pa.int64()))], ["doc_id", "fp"])
 
-    return text_of(docs).mapInArrow(run, "doc_id long, fp array<long>")
+    return text_of(docs).mapInArrow(released(run), "doc_id long, fp array<long>")
 
 
 class Forest:
@@ -106,10 +106,10 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tu
 
     Places of b follow those of a; with same, b is a.
     """
-    forest = Forest(len(a) if same else len(a) + len(b))
+    forest, dense = Forest(len(a) if same else len(a) + len(b)), -(-a.shape[1] // 2)
     oa, ca = _ordered(a)
     ob, cb = (oa, ca) if same else _ordered(b)
-    sa, sb, ca, cb = a[oa], b[ob], ca[:, oa], cb[:, ob]
+    sa, sb, ca, cb = np.asfortranarray(a[oa]), np.asfortranarray(b[ob]), ca[:, oa], cb[:, ob]
     gap = lambda x, y: np.maximum(0, np.maximum(x.min(1) - y.max(1), y.min(1) - x.max(1)))
     for i in range(0, len(sa), BLOCK_A):
         for j in range(0, len(sb), BLOCK_B):
@@ -118,11 +118,14 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tu
             whole, upper, lower = gap(ca[:, i : i + BLOCK_A], cb[:, j : j + BLOCK_B])
             if whole > radius or upper + lower > radius:
                 continue
+            # Half of the words are compared for all pairs; those that are within the radius there, few of them, in full.
             d = np.bitwise_count(sa[i : i + BLOCK_A, None, 0] ^ sb[None, j : j + BLOCK_B, 0])
+            for k in range(1, dense):
+                d = d + np.bitwise_count(sa[i : i + BLOCK_A, None, k] ^ sb[None, j : j + BLOCK_B, k])
             x, y = np.nonzero(d <= radius)
-            if sa.shape[1] > 1 and len(x):
+            if dense < sa.shape[1] and len(x):
                 total = d[x, y].astype(np.int32)
-                for k in range(1, sa.shape[1]):
+                for k in range(dense, sa.shape[1]):
                     total += np.bitwise_count(sa[i + x, k] ^ sb[j + y, k])
                 x, y = x[total <= radius], y[total <= radius]
             if len(x):
@@ -182,7 +185,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, words64: int = 1, tile: int =
     total = sum(n * (last[first] - first + 1) for _, _, first, n in runs)
     tasks = min(max(total, 1), 8 * spark.sparkContext.defaultParallelism + total // 8)
     joined = pairs.join(packed.select(F.col("tile").alias("other"), F.col("a").alias("b")), "other")
-    return joined.repartition(tasks, "tile", "other").mapInArrow(_compare(radius, words64), "u array<long>, v array<long>")
+    return joined.repartition(tasks, "tile", "other").mapInArrow(released(_compare(radius, words64)), "u array<long>, v array<long>")
 
 
 def _least_of_component(prints: DataFrame, least: Column, radius: int, words64: int, tile: int) -> DataFrame:
