@@ -21,17 +21,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import fresh, pieces, slices, table
+from plusminus.llm.common import fresh, pieces, released, slices, table
 
 #: Passages of so many words are to be found; runs of whole repeated chunks count from RUN_WORDS.
 MIN_WORDS, RUN_WORDS = 50, 25
 #: A chunk ends at one word in 2 ** CUT_BITS on average, and after MOST_WORDS words at the latest.
 CUT_BITS, MOST_WORDS = 2, 16
+#: Chunks of so many words or more can be the ends of a repeated passage.
+LONG_CHUNK = 4
 #: The cut is decided by bits LOW_BIT and up of the hash, which depend on the last LOW_BIT + CUT_BITS bytes.
 LOW_BIT = 14
 SEED = 9
 
-CHUNKS = "doc_id long, row long, place long, start long, stop long, words int, digest long"
+#: place and words, and start and length, share a long each: these rows are most of what is shuffled.
+CHUNKS = "doc_id long, row long, place_words long, start_size long, digest long"
+WORDS_IN, SIZE_IN = 1 << 8, 1 << 31
 
 
 @functools.cache
@@ -92,12 +96,12 @@ def chunks(docs: DataFrame, cut_bits: int = CUT_BITS, most_words: int = MOST_WOR
                 place = 0
                 for start, stop, words, digest in chunks_of((text or "").encode("utf-8", "surrogatepass"), cut_bits, most_words):
                     n = len(words)
-                    whole = [np.full(n, row), np.arange(place, place + n), start, stop]
+                    packed = [np.full(n, row), np.arange(place, place + n) * WORDS_IN + words, start * SIZE_IN + stop - start, digest]
                     place += n
                     ids = pa.array(np.full(n, doc if doc is not None else 0), pa.int64(), mask=np.full(n, doc is None))
-                    yield pa.record_batch([ids, *(pa.array(c, pa.int64()) for c in whole), pa.array(words, pa.int32()), pa.array(digest)], ["doc_id", "row", "place", "start", "stop", "words", "digest"])
+                    yield pa.record_batch([ids, *(pa.array(c, pa.int64()) for c in packed)], ["doc_id", "row", "place_words", "start_size", "digest"])
 
-    return docs.mapInArrow(run, CHUNKS)
+    return docs.mapInArrow(released(run), CHUNKS)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -106,18 +110,25 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, run_words: int = RUN_WORDS, cut_bits: int = CUT_BITS, most_words: int = MOST_WORDS) -> DataFrame:
-    """row, doc_id, start, stop (code points) and words of each repeated passage; the first occurrence of a passage isn't one.
+    """row, start, stop (code points) and words of each repeated passage; the first occurrence of a passage isn't one.
 
     rows: what numbered() gives.
     """
     found = chunks(rows, cut_bits, most_words)
-    at = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "row", "place")
+    at = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "row", "place_words")
     # A digest of very many occurrences is aggregated before the shuffle; the join back is one that Spark can split.
-    first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1").select("digest", "first")
-    again = found.join(first, "digest").filter(at > F.col("first")).select("row", "doc_id", "place", "start", "stop", "words")
-    run = Window.partitionBy("row").orderBy("place")
-    runs = again.withColumn("run", F.col("place") - F.row_number().over(run)).groupBy("row", "run")
-    runs = runs.agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"))
+    first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1")
+    first = first.select("digest", F.col("first.row").alias("first_row"), F.col("first.place_words").alias("first_place"))
+    again = found.select("digest", "row", "place_words", "start_size").join(first, "digest").filter("row != first_row or place_words != first_place").select("row", "place_words", "start_size")
+    start = F.shiftright("start_size", 31)
+    up, down = (Window.partitionBy("row").orderBy(x) for x in (F.col("place_words"), F.col("place_words").desc()))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    # Chunks of a few words recur by chance: at the ends of a run they don't count, only between longer ones.
+    words = F.col("place_words") % WORDS_IN
+    runs = again.withColumn("run", F.shiftright("place_words", 8) - F.row_number().over(up)).withColumn("long_run", F.when(words >= LONG_CHUNK, F.col("run")))
+    runs = runs.withColumn("before", F.last("long_run", True).over(up.rowsBetween(*so_far))).withColumn("after", F.last("long_run", True).over(down.rowsBetween(*so_far)))
+    runs = runs.filter("before = run and after = run").groupBy("row", "run")
+    runs = runs.agg(F.min(start).alias("start"), F.max(start + F.col("start_size") % SIZE_IN).alias("stop"), F.sum(words).alias("words"))
     return runs.filter(F.col("words") >= run_words).drop("run")
 
 
