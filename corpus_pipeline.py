@@ -28,17 +28,26 @@ MASK = "[secret]"
 KEPT_WORDS = 40_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python a few MB at a time: the buffers of an executor's JVM keep the size of the largest batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; a null or empty text has none. The model learns from docs itself."""
+    small_batches(spark)
     return docs.filter(language.recognised(language.train(docs)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: the one of the smallest doc_id, and of equal ids one of them."""
+    small_batches(spark)
     return simhash.one_of_each(docs, SHINGLE, RADIUS, WORDS64)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return substring_dedup.without_repeats(docs)
 
 
@@ -47,6 +56,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, kept=KEPT_WORDS)
 
 
