@@ -83,11 +83,16 @@ class Plan:
     reachable: bool = True
 
 
-def largest_ratio(known: Known, n2: int, target: float, confidence: float = 0.95) -> int:
-    """The largest ratio up to MOST_RATIO whose predicted error meets the target; 0 if not even 1 does."""
+def largest_ratio(known: Known, n2: int, target: float, confidence: float = 0.95, most: int | None = None) -> int:
+    """The largest ratio whose predicted error meets the target; 0 if not even 1 does.
+
+    most: MOST_RATIO at most, and by default so small that a cluster gives two records on average, as the variance within
+    can't be told from one.
+    """
+    most = min(MOST_RATIO, max(1, int(known.records // 2))) if most is None else most
     if predicted_error(known, n2, 1, confidence) > target:
         return 0
-    low, high = 1, MOST_RATIO
+    low, high = 1, most
     while low < high:
         mid = (low + high + 1) // 2
         low, high = (mid, high) if predicted_error(known, n2, mid, confidence) <= target else (low, mid - 1)
@@ -112,7 +117,7 @@ def cheapest(known: Known, target: float, model: TimeModel, confidence: float =
     for n2 in range(low if compat else high, left if compat else left + 1):
         if best and n2 * model.seconds(known.records, MOST_RATIO) >= best.seconds:
             break
-        ratio = largest_ratio(known, n2, target, confidence) or (1 if compat else 0)
+        ratio = largest_ratio(known, n2, target, confidence, MOST_RATIO if compat else None) or (1 if compat else 0)
         if ratio:
             seconds = n2 * model.seconds(known.records, ratio)
             if best is None or seconds < best.seconds:
