@@ -123,13 +123,19 @@ def repeated_spans(rows: DataFrame, run_words: int = RUN_WORDS, cut_bits: int =
     start = F.shiftright("start_size", 31)
     up, down = (Window.partitionBy("row").orderBy(x) for x in (F.col("place_words"), F.col("place_words").desc()))
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    # Chunks of a few words recur by chance: at the ends of a run they don't count, only between longer ones.
+    # Chunks of a few words recur by chance: at the ends of a run they aren't part of the passage, only between longer ones.
     words = F.col("place_words") % WORDS_IN
     runs = again.withColumn("run", F.shiftright("place_words", 8) - F.row_number().over(up)).withColumn("long_run", F.when(words >= LONG_CHUNK, F.col("run")))
     runs = runs.withColumn("before", F.last("long_run", True).over(up.rowsBetween(*so_far))).withColumn("after", F.last("long_run", True).over(down.rowsBetween(*so_far)))
-    runs = runs.filter("before = run and after = run").groupBy("row", "run")
-    runs = runs.agg(F.min(start).alias("start"), F.max(start + F.col("start_size") % SIZE_IN).alias("stop"), F.sum(words).alias("words"))
-    return runs.filter(F.col("words") >= run_words).drop("run")
+    inside = F.coalesce((F.col("before") == F.col("run")) & (F.col("after") == F.col("run")), F.lit(False))
+    runs = runs.withColumn("inside", inside).groupBy("row", "run")
+    stop = start + F.col("start_size") % SIZE_IN
+
+    def within(total, x):
+        return F.coalesce(total(F.when(F.col("inside"), x)), total(x))  # a run of short chunks alone counts whole
+
+    runs = runs.agg(within(F.min, start).alias("start"), within(F.max, stop).alias("stop"), within(F.sum, words).alias("words"), F.sum(words).alias("all_words"))
+    return runs.filter(F.col("all_words") >= run_words).drop("run", "all_words")
 
 
 def mark_repeats(docs: DataFrame, run_words: int = RUN_WORDS, cut_bits: int = CUT_BITS, most_words: int = MOST_WORDS) -> DataFrame:
