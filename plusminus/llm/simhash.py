@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from plusminus.llm.common import fresh, released, saved, slices, table, text_of, word_lists
 from plusminus.llm.components import components
+from plusminus.llm.lookup import looked_up
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints of one tile: two tiles and a block of their comparison take a few tens of MB.
@@ -120,6 +121,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tu
                 continue
             # Half of the words are compared for all pairs; those that are within the radius there, few of them, in full.
             d = np.bitwise_count(sa[i : i + BLOCK_A, None, 0] ^ sb[None, j : j + BLOCK_B, 0])
+            d = d if dense < 4 else d.astype(np.uint16)  # four words or more can differ by over 255 bits
             for k in range(1, dense):
                 d = d + np.bitwise_count(sa[i : i + BLOCK_A, None, k] ^ sb[None, j : j + BLOCK_B, k])
             x, y = np.nonzero(d <= radius)
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, words64: int = 1, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """docs with one row of each component: the one of the smallest (doc_id, place in the input); a null doc_id comes last.
 
-    docs: read from files, so that two scans number its rows alike. Columns stay as they are.
+    docs: read from files, so that two scans number its rows alike. Columns stay as they are, and texts aren't shuffled.
     """
     row = fresh("row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
@@ -221,7 +223,9 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, w
     prints = prints.join(numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id")), "row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     kept = _least_of_component(prints, order, radius, words64, tile).select(F.col("least")["row"].alias(row)).distinct()
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    stays = fresh("stays")
+    marked = looked_up(numbered, row, kept.withColumn(stays, F.lit(True)), stays)
+    return marked.filter(F.col(stays).isNotNull()).select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

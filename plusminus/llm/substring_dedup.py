@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plusminus.llm.common import fresh, pieces, released, slices, table
+from plusminus.llm.lookup import looked_up
 
 #: Passages of so many words are to be found; runs of whole repeated chunks count from RUN_WORDS.
 MIN_WORDS, RUN_WORDS = 50, 25
@@ -156,7 +157,8 @@ def mark_repeats(docs: DataFrame, run_words: int = RUN_WORDS, cut_bits: int = CU
 def without_repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """docs with the repeated passages cut out of text; other columns and all rows stay. A null text stays null.
 
-    docs: read from files, so that two scans number its rows alike.
+    docs: read from files, so that two scans number its rows alike. Texts are cut where they are read; only chunks and
+    passages, as numbers, are shuffled.
     """
     row, spans = fresh("row"), fresh("spans")
     found = repeated_spans(numbered(docs), run_words)
@@ -165,7 +167,7 @@ def without_repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     after = lambda s: F.substring(text, s["next"].cast("int") + 1, F.lit((1 << 31) - 1))
     step = lambda s, x: F.struct(F.concat(s["out"], F.substring(text, s["next"].cast("int") + 1, (x["start"] - s["next"]).cast("int"))).alias("out"), x["stop"].alias("next"))
     left = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], after(s)))
-    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(found, row, "left")
+    joined = looked_up(docs.withColumn(row, F.monotonically_increasing_id()), row, found, spans)
     return joined.withColumn("text", F.when(F.col(spans).isNull(), text).otherwise(left)).select(*docs.columns)
 
 

@@ -16,14 +16,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import shared_path, slices, table, text_of
+from plusminus.llm.common import file_system, shared_path, slices, table, text_of
 from plusminus.llm.word_tokens import END_ID, default_path, encoder
 
 #: Fixed values of the zstd seekable format.
@@ -37,10 +36,6 @@ LEVEL = 3
 FILE_ROWS = 8192
 
 
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
-
-
 class FileWriter:
     """Writes one file to a stream. width is 2 or 4 bytes an id."""
 
