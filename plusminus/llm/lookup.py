@@ -23,6 +23,25 @@ from plusminus.llm.common import file_system, fresh, shared_path
 TASK_BITS = 33
 
 
+def ranges(table: DataFrame, key: str, row_group: int = 128 << 20) -> list[tuple[str, int, int]]:
+    """Writes table to the shared folder in ranges of key; gives each file's path, first and last key, one entry a file."""
+    path = shared_path(table.sparkSession, "ranges")
+    table.repartitionByRange(key).sortWithinPartitions(key).write.option("parquet.block.size", row_group).parquet(path)
+    written = table.sparkSession.read.schema(table.schema).parquet(path).select(F.col(key).alias("key"), F.col("_metadata.file_path").alias("path"))
+    return [(r["path"], r["first"], r["last"]) for r in written.groupBy("path").agg(F.min("key").alias("first"), F.max("key").alias("last")).collect()]
+
+
+def read_range(files: list[tuple[str, int, int]], key: str, low: int, high: int) -> pa.Table | None:
+    """The rows with keys from low to high of what ranges() wrote, in order of key; None if no file can have any."""
+    parts = []
+    for path, first, last in files:
+        if first <= high and low <= last:
+            fs, local = file_system(path)
+            with fs.open_input_file(local) as stream:
+                parts.append(pq.read_table(stream, filters=[(key, ">=", low), (key, "<=", high)]))
+    return pa.concat_tables(parts).sort_by(key) if parts else None
+
+
 def _finder(files: list[tuple[str, int, int]], kind: DataType):
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -30,15 +49,9 @@ def _finder(files: list[tuple[str, int, int]], kind: DataType):
 
     def load(task: int) -> tuple[np.ndarray, pa.Array]:
         low, high = task << TASK_BITS, (task + 1 << TASK_BITS) - 1
-        parts = []
-        for path, first, last in files:
-            if first <= high and low <= last:
-                fs, local = file_system(path)
-                with fs.open_input_file(local) as stream:
-                    parts.append(pq.read_table(stream, filters=[("key", ">=", low), ("key", "<=", high)]))
-        if not parts:
+        whole = read_range(files, "key", low, high)
+        if whole is None:
             return np.zeros(0, np.int64), pa.array([], target)
-        whole = pa.concat_tables(parts).sort_by("key")
         return whole.column("key").to_numpy(), whole.column("value").combine_chunks().cast(target)
 
     def find(keys: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -65,13 +78,8 @@ def looked_up(rows: DataFrame, key: str, found: DataFrame, value: str) -> DataFr
     rows: key is monotonically_increasing_id() of rows read from files and not moved since. found: key, at most once
     each and never null, and value, of any type that Parquet holds; other columns are left out. An empty found gives nulls.
     """
-    spark = rows.sparkSession
     narrow = found.select(F.col(key).alias("key"), F.col(value).alias("value"))
-    path = shared_path(spark, "lookup")
-    narrow.repartitionByRange("key").sortWithinPartitions("key").write.parquet(path)
-    written = spark.read.schema(narrow.schema).parquet(path).select("key", F.col("_metadata.file_path").alias("path"))
-    # One row a file.
-    files = [(r["path"], r["first"], r["last"]) for r in written.groupBy("path").agg(F.min("key").alias("first"), F.max("key").alias("last")).collect()]
+    files = ranges(narrow, "key")
     kind = narrow.schema["value"].dataType
     find = F.arrow_udf(_finder(files, kind), kind)
     result = fresh("found")

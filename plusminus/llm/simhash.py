@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from plusminus.llm.common import fresh, released, saved, slices, table, text_of, word_lists
 from plusminus.llm.components import components
-from plusminus.llm.lookup import looked_up
+from plusminus.llm.lookup import looked_up, ranges, read_range
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints of one tile: two tiles and a block of their comparison take a few tens of MB.
 TILE = 8192
 BLOCK_A, BLOCK_B = 512, 2048
+#: Bytes of a row group of the tiles' files: a task reads few others besides the tile it asks for.
+ROW_GROUP = 1 << 20
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -138,18 +140,24 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tu
     return list(zip(child.tolist(), roots[child].tolist(), strict=True))
 
 
-def _compare(radius: int, words64: int):
-    def unpack(cell) -> np.ndarray:
-        return cell.values.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, words64)
+def _compare(files: list[tuple[str, int, int]], radius: int, words64: int):
+    def tile(number: int) -> np.ndarray:
+        found = read_range(files, "tile", number, number)
+        if found is None:
+            return np.zeros((0, words64), np.uint64)
+        return found.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, words64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, a = None, np.zeros((0, words64), np.uint64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                same = batch.column("tile")[i].as_py() == batch.column("other")[i].as_py()
-                a = unpack(batch.column("a")[i])
-                b = a if same else unpack(batch.column("b")[i])
-                found = np.array(tile_links(a, b, radius, same), np.int64).reshape(-1, 2)
-                both = (a if same else np.concatenate([a, b])).view(np.int64)
+            for left, right in zip(batch.column("tile").to_pylist(), batch.column("other").to_pylist(), strict=True):
+                if left != held:  # pairs of one tile follow one another
+                    held, a = left, tile(left)
+                b = a if left == right else tile(right)
+                if not len(a) or not len(b):
+                    continue
+                found = np.array(tile_links(a, b, radius, left == right), np.int64).reshape(-1, 2)
+                both = (a if left == right else np.concatenate([a, b])).view(np.int64)
                 u, v = (pa.array(list(both[found[:, k]]), pa.list_(pa.int64())) for k in (0, 1))
                 yield pa.record_batch([u, v], ["u", "v"])
 
@@ -178,16 +186,18 @@ def links(nodes: DataFrame, radius: int = RADIUS, words64: int = 1, tile: int =
     # One row for each population count there is: 64 * words64 + 1 at most.
     runs = tiles_of([(r[0], r[1]) for r in counted.groupBy("ones").count().collect()], tile)
     last = {first: max(f + m - 1 for low, _, f, m in runs if low <= high + radius) for _, high, first, _ in runs}
-    plan = [(p, first, n, last[first]) for low, high, first, n in runs for p in range(low, high + 1)]
-    placed = counted.join(F.broadcast(spark.createDataFrame(plan, "ones int, first int, n int, last int")), "ones")
-    placed = placed.withColumn("tile", F.col("first") + F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-    packed = placed.groupBy("tile").agg(F.max("last").alias("last"), F.collect_list("fp").alias("a"))
-    packed = saved(packed, "tiles")
-    pairs = packed.select("tile", "a", F.explode(F.sequence("tile", "last")).alias("other"))
+    plan = [(p, first, n) for low, high, first, n in runs for p in range(low, high + 1)]
+    placed = counted.join(F.broadcast(spark.createDataFrame(plan, "ones int, first int, n int")), "ones")
+    placed = placed.select((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).alias("tile"), "fp")
+    # Tiles are written once and read by the tasks that compare them: what is shuffled is the numbers of pairs of tiles.
+    files = ranges(placed, "tile", ROW_GROUP)
     total = sum(n * (last[first] - first + 1) for _, _, first, n in runs)
     tasks = min(max(total, 1), 8 * spark.sparkContext.defaultParallelism + total // 8)
-    joined = pairs.join(packed.select(F.col("tile").alias("other"), F.col("a").alias("b")), "other")
-    return joined.repartition(tasks, "tile", "other").mapInArrow(released(_compare(radius, words64)), "u array<long>, v array<long>")
+    spans = spark.createDataFrame([(first, n, last[first]) for _, _, first, n in runs], "first int, n int, last int")
+    pairs = spans.select(F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("tile"), "last")
+    pairs = pairs.select("tile", F.explode(F.sequence("tile", "last")).alias("other"))
+    dealt = pairs.repartition(tasks, "tile", "other").sortWithinPartitions("tile", "other")
+    return dealt.mapInArrow(released(_compare(files, radius, words64)), "u array<long>, v array<long>")
 
 
 def _least_of_component(prints: DataFrame, least: Column, radius: int, words64: int, tile: int) -> DataFrame:
