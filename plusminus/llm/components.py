@@ -1,8 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Each round is two aggregations and two joins over the links, written to the shared folder. A node with
-very many links is aggregated before the shuffle, and the join back to its links is one that adaptive
-execution can split. Nothing is collected but a count and a checksum for each round.
+very many links is aggregated before the shuffle; the join back to its links reads them in one task, as two
+numbers each. Nothing is collected but a count and a checksum for each round.
 """
 
 from __future__ import annotations
