@@ -5,7 +5,8 @@ one's docs. All but the last return the columns of documents. Nothing of the res
 models, fingerprints, rolling hashes, token ids), so ORACLE_SQL is None and the stages are tested against brute force.
 
 1. language: documents without a recognised language go (no letter, or no codeword near).
-2. near_dedup: of documents whose fingerprints over 5-word shingles agree, the one of the smallest doc_id stays.
+2. near_dedup: of documents linked by a Jaccard similarity of 0.8 or more of their sets of 5-word shingles, the one of the
+   smallest doc_id stays.
 3. substring_dedup: repeated passages are cut out of the text, all but their first occurrence; documents stay.
 4. secrets: found spans are masked in the text; documents stay.
 5. packing: the texts that are left as sequences of token ids; one row for each piece.
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from plusminus.llm import language, packing, secrets, simhash, substring_dedup
 from plusminus.llm.common import saved
 
-#: Near duplicates: five-word shingles and a similarity of 0.8 or more. Four 64-bit words tell such pairs from others:
-#: at a Jaccard similarity of 0.8 they differ by 39 of 256 bits on average (standard deviation 6), at 0.6 by 59.
-SHINGLE, WORDS64, RADIUS = 5, 4, 46
+#: Near duplicates: five-word shingles and a similarity of 0.8 or more. Candidates are pairs within RADIUS of 256 bits: at
+#: a Jaccard similarity of 0.8 they differ by 39 on average (standard deviation 6; up to 48 for texts of four or five
+#: shingles), unrelated ones by 128 (8). Each candidate's similarity is then computed from its sets of shingles.
+SHINGLE, WORDS64, RADIUS, SIMILAR = 5, 4, 72, (4, 5)
 MASK = "[secret]"
 #: Python workers outlive a stage: what packing remembers stays in their memory beside the other stages' needs.
 KEPT_WORDS = 40_000
@@ -43,7 +45,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: the one of the smallest doc_id, and of equal ids one of them."""
     small_batches(spark)
-    return simhash.one_of_each(docs, SHINGLE, RADIUS, WORDS64)
+    return simhash.one_of_each(docs, SHINGLE, RADIUS, WORDS64, similar=SIMILAR)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

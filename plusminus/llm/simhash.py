@@ -8,12 +8,15 @@
    n - 1 rows and not n * n / 2, and no link between different fingerprints is lost to its component.
 5. Components by star contraction; a component's id is its smallest doc_id.
 
+The pipeline's stage (one_of_each) has sets of shingles as nodes, uses these links as candidates and joins only those
+whose sets are similar enough, compared in full.
+
 The comparison is exact, and so it grows with the square of the number of distinct fingerprints.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,10 @@ TILE = 8192
 BLOCK_A, BLOCK_B = 512, 2048
 #: Bytes of a row group of the tiles' files: a task reads few others besides the tile it asks for.
 ROW_GROUP = 1 << 20
+#: Least Jaccard similarity of near duplicates' sets, as a fraction, and texts of one tile of sets.
+SIMILAR, SET_TILE = (4, 5), 2048
+#: Hashes that vote, or are looked for, at once.
+VOTES = 1 << 18
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -44,34 +51,56 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, words64: int = 1, seed: int = SEED) -> list[int]:
-    """The fingerprint as 64-bit words. A bit is set if it is set in over half the hashes of the shingles."""
-    totals, n, tail = np.zeros((words64, 64), np.int64), 0, []
+def shingles(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, array by array, in order; a text of fewer words has its whole sequence as the one shingle."""
+    none, tail = True, []
     data = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes.lower() changes A-Z alone
     for words in word_lists(data):
         words = tail + words
         grams = [b" ".join(g) for g in zip(*(words[k:] for k in range(shingle)), strict=False)]
         tail = words[-(shingle - 1) :] if shingle > 1 else []
         if grams:
-            h = np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], np.uint64)
-            n += len(h)
+            none = False
+            yield np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], np.uint64)
+    if none and tail:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(tail), seed)], np.uint64)
+
+
+def voted(hashes: Iterable[np.ndarray], words64: int = 1) -> list[int]:
+    """The fingerprint as 64-bit words. A bit is set if it is set in over half the hashes."""
+    totals, n = np.zeros((words64, 64), np.int64), 0
+    for whole in hashes:
+        n += len(whole)
+        for h in (whole[i : i + VOTES] for i in range(0, len(whole), VOTES)):
             for k in range(words64):
                 bits = np.unpackbits(_mixed(h, k).astype(">u8").view(np.uint8)).reshape(-1, 64)
                 totals[k] += bits.sum(0, dtype=np.int64)
-    if not n and tail:
-        h, n = np.array([xxhash.xxh64_intdigest(b" ".join(tail), seed)], np.uint64), 1
-        for k in range(words64):
-            totals[k] += np.unpackbits(_mixed(h, k).astype(">u8").view(np.uint8))
     return [int.from_bytes(np.packbits(2 * t > n).tobytes(), "big") for t in totals] if n else [0] * words64
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words64: int = 1, seed: int = SEED) -> DataFrame:
-    """doc_id and fp, an array of the fingerprint's 64-bit words as signed longs."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, words64: int = 1, seed: int = SEED) -> list[int]:
+    """The fingerprint of a text; every repeat of a shingle votes again."""
+    return voted(shingles(text, shingle, seed), words64)
+
+
+def distinct(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+
+
+def signature(text: str | None, shingle: int = SHINGLE, words64: int = 1, seed: int = SEED) -> list[int]:
+    """The fingerprint's words, a digest of the set of shingles and the size of the set: equal for equal sets alone."""
+    hashes = list(shingles(text, shingle, seed))
+    found = distinct(hashes)
+    return [*voted(hashes, words64), xxhash.xxh3_64_intdigest(found.tobytes()), len(found)]
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words64: int = 1, seed: int = SEED, of: Callable[..., list[int]] = fingerprint) -> DataFrame:
+    """doc_id and fp, an array of the 64-bit words that `of` (fingerprint or signature) gives, as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = np.array([fingerprint(x, shingle, words64, seed) for x in batch.column("text").to_pylist()], np.uint64).astype(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(list(found.reshape(batch.num_rows, words64)), pa.list_(pa.int64()))], ["doc_id", "fp"])
+            found = np.array([of(x, shingle, words64, seed) for x in batch.column("text").to_pylist()], np.uint64).astype(np.int64)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(list(found.reshape(batch.num_rows, -1)), pa.list_(pa.int64()))], ["doc_id", "fp"])
 
     return text_of(docs).mapInArrow(released(run), "doc_id long, fp array<long>")
 
@@ -104,12 +133,46 @@ def _ordered(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.lexsort((counts[1], counts[0])), counts
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
+class Sets:
+    """Sets of shingles, one after the other in values; place i has values[bounds[i]:bounds[i + 1]], sorted."""
+
+    def __init__(self, values: np.ndarray, bounds: np.ndarray):
+        self.values, self.bounds = values, bounds
+
+    def similar(self, u: int, others: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+        """For each of others, none of them empty, whether its Jaccard similarity to u is that fraction or more."""
+        one, sizes = self.values[self.bounds[u] : self.bounds[u + 1]], self.bounds[others + 1] - self.bounds[others]
+        out = np.zeros(len(others), bool)
+        for part in np.split(np.arange(len(others)), np.flatnonzero(np.diff(np.cumsum(sizes) // VOTES)) + 1):
+            every = np.concatenate([self.values[self.bounds[v] : self.bounds[v + 1]] for v in others[part]])
+            at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+            both = np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
+            out[part] = both * similar[1] >= (len(one) + sizes[part] - both) * similar[0]
+        return out
+
+
+def _join_similar(forest: Forest, u: np.ndarray, v: np.ndarray, similar: tuple[int, int], sets: Sets) -> None:
+    """Joins the pairs whose similarity is that or more; pairs that are joined already aren't compared. u comes in runs."""
+    for row in np.split(np.arange(len(u)), np.flatnonzero(np.diff(u)) + 1):
+        row = row[forest.roots(u[row]) != forest.roots(v[row])]
+        if len(row):
+            row = row[sets.similar(int(u[row[0]]), v[row], similar)]
+            forest.join(u[row], v[row])
+
+
+def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, similar: tuple[int, int] | None = None, sets: Sets | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between rows of a and b (64-bit words in columns) at radius or fewer differing bits.
 
-    Places of b follow those of a; with same, b is a.
+    Places of b follow those of a; with same, b is a. With similar, rows are signatures, and a pair also needs sizes of
+    sets that allow this Jaccard similarity; with sets, of all places, it needs the similarity itself.
     """
+    sizes = None
+    if similar:
+        sizes = (a if same else np.concatenate([a, b]))[:, -1].astype(np.int64)
+        a, b = a[:, :-2], b[:, :-2]
     forest, dense = Forest(len(a) if same else len(a) + len(b)), -(-a.shape[1] // 2)
+    if radius > 24 * dense:  # most pairs are within the radius in half of the words
+        dense = a.shape[1]
     oa, ca = _ordered(a)
     ob, cb = (oa, ca) if same else _ordered(b)
     sa, sb, ca, cb = np.asfortranarray(a[oa]), np.asfortranarray(b[ob]), ca[:, oa], cb[:, ob]
@@ -132,38 +195,53 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tu
                 for k in range(dense, sa.shape[1]):
                     total += np.bitwise_count(sa[i + x, k] ^ sb[j + y, k])
                 x, y = x[total <= radius], y[total <= radius]
-            if len(x):
-                forest.join(oa[i + x], ob[j + y] + (0 if same else len(a)))
+            u, v = oa[i + x], ob[j + y] + (0 if same else len(a))
+            if similar and len(u):
+                fits = (u != v) & (np.minimum(sizes[u], sizes[v]) * similar[1] >= np.maximum(sizes[u], sizes[v]) * similar[0])
+                u, v = u[fits], v[fits]
+            if len(u) and sets:
+                _join_similar(forest, u, v, similar, sets)
+            elif len(u):
+                forest.join(u, v)
     every = np.arange(len(forest.parent))
     roots = forest.roots(every)
     child = np.flatnonzero(roots != every)
     return list(zip(child.tolist(), roots[child].tolist(), strict=True))
 
 
-def _compare(files: list[tuple[str, int, int]], radius: int, words64: int):
-    def tile(number: int) -> np.ndarray:
+def _compare(files: list[tuple[str, int, int]], radius: int, width: int, similar: tuple[int, int] | None, with_sets: bool):
+    def tile(number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found = read_range(files, "tile", number, number)
+        values, sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if found is None:
-            return np.zeros((0, words64), np.uint64)
-        return found.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, words64)
+            return np.zeros((0, width), np.uint64), values, sizes
+        if with_sets:
+            column = found.column("hashes").combine_chunks()
+            values, sizes = _unsigned(column), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return _unsigned(found.column("fp").combine_chunks()).reshape(-1, width), values, sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, a = None, np.zeros((0, words64), np.uint64)
+        held, a = None, None
         for batch in batches:
             for left, right in zip(batch.column("tile").to_pylist(), batch.column("other").to_pylist(), strict=True):
                 if left != held:  # pairs of one tile follow one another
                     held, a = left, tile(left)
                 b = a if left == right else tile(right)
-                if not len(a) or not len(b):
+                if not len(a[0]) or not len(b[0]):
                     continue
-                found = np.array(tile_links(a, b, radius, left == right), np.int64).reshape(-1, 2)
-                both = (a if left == right else np.concatenate([a, b])).view(np.int64)
-                u, v = (pa.array(list(both[found[:, k]]), pa.list_(pa.int64())) for k in (0, 1))
+                both, values, sizes = a if left == right else (np.concatenate(x) for x in zip(a, b, strict=True))
+                sets = Sets(values, np.concatenate([[0], np.cumsum(sizes)])) if with_sets else None
+                found = np.array(tile_links(a[0], b[0], radius, left == right, similar, sets), np.int64).reshape(-1, 2)
+                u, v = (pa.array(list(both.view(np.int64)[found[:, k]]), pa.list_(pa.int64())) for k in (0, 1))
                 yield pa.record_batch([u, v], ["u", "v"])
 
     return run
 
 
+def _unsigned(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
 def tiles_of(counts: list[tuple[int, int]], tile: int) -> list[tuple[int, int, int, int]]:
     """(least count, largest count, first tile, tiles): runs of population counts that fill about a tile or are split to several."""
     runs: list[list[int]] = []
@@ -179,31 +257,71 @@ def tiles_of(counts: list[tuple[int, int]], tile: int) -> list[tuple[int, int, i
     return out
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, words64: int = 1, tile: int = TILE) -> DataFrame:
-    """(u, v): links that join the same components as all links of the distinct fingerprints in nodes.fp do."""
+def _compared(placed: DataFrame, spans: list[tuple[int, int, int]], radius: int, width: int, similar: tuple[int, int] | None, with_sets: bool = False) -> DataFrame:
+    """(u, v) of tile pairs: for each span (first, n, last) each of n tiles from first on, with itself and those up to last."""
+    spark = placed.sparkSession
+    # Tiles are written once and read by the tasks that compare them: what is shuffled is the numbers of pairs of tiles.
+    files = ranges(placed, "tile", ROW_GROUP)
+    total = sum(n * (last - first + 1) for first, n, last in spans)
+    tasks = min(max(total, 1), 8 * spark.sparkContext.defaultParallelism + total // 8)
+    pairs = spark.createDataFrame(spans, "first int, n int, last int")
+    pairs = pairs.select(F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("tile"), "last")
+    pairs = pairs.select("tile", F.explode(F.sequence("tile", "last")).alias("other"))
+    dealt = pairs.repartition(tasks, "tile", "other").sortWithinPartitions("tile", "other")
+    return dealt.mapInArrow(released(_compare(files, radius, width, similar, with_sets)), "u array<long>, v array<long>")
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, words64: int = 1, tile: int = TILE, similar: tuple[int, int] | None = None) -> DataFrame:
+    """(u, v): links that join the same components as all links of the distinct fingerprints in nodes.fp do.
+
+    With similar, nodes.fp are signatures, linked if their sets' sizes allow that similarity, too.
+    """
     spark = nodes.sparkSession
-    counted = nodes.select("fp", F.aggregate("fp", F.lit(0), lambda s, x: s + F.bit_count(x)).alias("ones"))
+    counted = nodes.select("fp", F.aggregate(F.slice("fp", 1, words64), F.lit(0), lambda s, x: s + F.bit_count(x)).alias("ones"))
     # One row for each population count there is: 64 * words64 + 1 at most.
     runs = tiles_of([(r[0], r[1]) for r in counted.groupBy("ones").count().collect()], tile)
     last = {first: max(f + m - 1 for low, _, f, m in runs if low <= high + radius) for _, high, first, _ in runs}
     plan = [(p, first, n) for low, high, first, n in runs for p in range(low, high + 1)]
     placed = counted.join(F.broadcast(spark.createDataFrame(plan, "ones int, first int, n int")), "ones")
     placed = placed.select((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).alias("tile"), "fp")
-    # Tiles are written once and read by the tasks that compare them: what is shuffled is the numbers of pairs of tiles.
-    files = ranges(placed, "tile", ROW_GROUP)
-    total = sum(n * (last[first] - first + 1) for _, _, first, n in runs)
-    tasks = min(max(total, 1), 8 * spark.sparkContext.defaultParallelism + total // 8)
-    spans = spark.createDataFrame([(first, n, last[first]) for _, _, first, n in runs], "first int, n int, last int")
-    pairs = spans.select(F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("tile"), "last")
-    pairs = pairs.select("tile", F.explode(F.sequence("tile", "last")).alias("other"))
-    dealt = pairs.repartition(tasks, "tile", "other").sortWithinPartitions("tile", "other")
-    return dealt.mapInArrow(released(_compare(files, radius, words64)), "u array<long>, v array<long>")
+    return _compared(placed, [(first, n, last[first]) for _, _, first, n in runs], radius, words64 + (2 if similar else 0), similar)
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, radius: int, words64: int, seed: int, tile: int, similar: tuple[int, int], set_tile: int = SET_TILE) -> DataFrame:
+    """(u, v): links that join the same components as all pairs of signatures within the radius whose sets are similar.
+
+    nodes: fp and row, of one text with that set; texts: row and text. Pairs within the radius are first joined to groups,
+    unchecked; only texts of a group have their sets written, and only tiles of one group are compared.
+    """
+    spark = nodes.sparkSession
+    near = components(links(nodes.select("fp"), radius, words64, tile, similar))
+    near = near.select(F.col("u").alias("fp"), "root").unionByName(near.select(F.col("root").alias("fp"), "root").distinct())
+    near = saved(nodes.join(near, "fp"), "near")
+    sizes = near.groupBy("root").count()
+    # Groups of over a tile: as many rows as there are tiles at most.
+    large = [(r["root"], -(-r["count"] // set_tile)) for r in sizes.filter(F.col("count") > set_tile).collect()]
+    rest = sizes.filter(F.col("count") <= set_tile).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    bins = max(1, -(-rest // set_tile))
+    firsts = bins + np.cumsum([0, *(n for _, n in large)])
+    plan = spark.createDataFrame([(root, int(first), n) for (root, n), first in zip(large, firsts[:-1], strict=True)], "root array<long>, first int, n int")
+    own = F.col("first") + F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    placed = near.join(F.broadcast(plan), "root", "left").select("row", F.struct(F.coalesce(own, F.pmod(F.xxhash64("root"), F.lit(bins)).cast("int")).alias("tile"), "fp").alias("place"))
+    of_row = looked_up(texts, "row", placed, "place").filter("place is not null").select("place.tile", "place.fp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [distinct(list(shingles(x, shingle, seed))).view(np.int64) for x in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("tile"), batch.column("fp"), pa.array(found, pa.list_(pa.int64()))], ["tile", "fp", "hashes"])
+
+    sets = of_row.mapInArrow(released(run), "tile int, fp array<long>, hashes array<long>")
+    spans = [(b, 1, b) for b in range(bins)] + [(int(first), n, int(first) + n - 1) for (_, n), first in zip(large, firsts[:-1], strict=True)]
+    return _compared(saved(sets, "sets"), spans, radius, words64 + 2, similar, True)
 
 
-def _least_of_component(prints: DataFrame, least: Column, radius: int, words64: int, tile: int) -> DataFrame:
-    """(fp, least): the least value of a column over the whole component of each distinct fingerprint."""
+def _least_of_component(prints: DataFrame, least: Column, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(fp, least): the least value of a column over the whole component of each distinct fingerprint; linked gives the links of fp and least."""
     nodes = saved(prints.groupBy("fp").agg(F.min(least).alias("least")), "nodes")
-    found = components(links(nodes.select("fp"), radius, words64, tile)).withColumnRenamed("u", "fp")
+    found = components(linked(nodes)).withColumnRenamed("u", "fp")
     rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("of_root"))
     return rooted.join(of_root, "root").select("fp", F.col("of_root").alias("least"))
@@ -217,22 +335,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     rows alone has a null component_id. Repeated rows each give a row. An empty table gives no rows.
     """
     prints = saved(fingerprints(docs, shingle, words64, seed), "fingerprints")
-    least = _least_of_component(prints, F.col("doc_id"), radius, words64, tile)
+    least = _least_of_component(prints, F.col("doc_id"), lambda nodes: links(nodes.select("fp"), radius, words64, tile))
     return prints.join(least, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, words64: int = 1, seed: int = SEED, tile: int = TILE) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, words64: int = 1, seed: int = SEED, tile: int = TILE, similar: tuple[int, int] = SIMILAR, set_tile: int = SET_TILE
+) -> DataFrame:
     """docs with one row of each component: the one of the smallest (doc_id, place in the input); a null doc_id comes last.
 
-    docs: read from files, so that two scans number its rows alike. Columns stay as they are, and texts aren't shuffled.
+    Texts are linked if their fingerprints differ by radius or fewer bits and their sets of shingles have a Jaccard
+    similarity of `similar` or more. docs: read from files, so that scans number its rows alike. Columns stay as they
+    are, and texts aren't shuffled, but sets of shingles of texts that have another within the radius are.
     """
     row = fresh("row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    texts = numbered.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
     # The place takes the part of the id through the fingerprints; ids are looked up by it.
-    prints = saved(fingerprints(numbered.select(F.col(row).alias("doc_id"), "text"), shingle, words64, seed).withColumnRenamed("doc_id", "row"), "fingerprints")
+    prints = saved(fingerprints(texts.withColumnRenamed("row", "doc_id"), shingle, words64, seed, signature).withColumnRenamed("doc_id", "row"), "fingerprints")
     prints = prints.join(numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id")), "row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    kept = _least_of_component(prints, order, radius, words64, tile).select(F.col("least")["row"].alias(row)).distinct()
+    least = _least_of_component(prints, order, lambda nodes: similar_links(nodes.select("fp", "least.row"), texts, shingle, radius, words64, seed, tile, similar, set_tile))
+    kept = least.select(F.col("least")["row"].alias(row)).distinct()
     stays = fresh("stays")
     marked = looked_up(numbered, row, kept.withColumn(stays, F.lit(True)), stays)
     return marked.filter(F.col(stays).isNotNull()).select(*docs.columns)

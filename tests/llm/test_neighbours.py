@@ -189,3 +189,48 @@ def test_pipeline(spark, data):
     ran = pipeline.run(spark, data).collect()
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packed) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in ran)
     assert {r.doc_id for r in ran} == set(parts["near_dedup"])
+
+
+# --- near duplicates by similarity -------------------------------------------------------------------------------
+
+
+def kept_by_hand(rows, shingle):
+    """The ids that are left of (id, text): the smallest of each component of pairs at a Jaccard similarity of 0.8 or more."""
+    sets = {}
+    for i, text in rows:
+        words = text.split()
+        sets[i] = {" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i for i in sets if find(i) == i}
+
+
+def text_table(spark, path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+@pytest.mark.parametrize("set_tile", [8, 2048])
+def test_near_duplicates_by_brute_force_similarity(spark, tmp_path, set_tile):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng, rows = random.Random(12), []
+    for base in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 60, 300]))]
+        for _ in range(5):  # the last words are others: similarities of about 0.7 to 0.98
+            n = int(len(words) * rng.uniform(0.84, 0.99))
+            rows.append((len(rows), " ".join(words[:n] + [f"x{rng.randrange(10**6)}" for _ in words[n:]])))
+    docs = text_table(spark, tmp_path / "d", rows)
+    want = kept_by_hand(rows, pipeline.SHINGLE)
+    assert 60 < len(want) < 180
+    kept = simhash.one_of_each(docs, pipeline.SHINGLE, pipeline.RADIUS, pipeline.WORDS64, similar=pipeline.SIMILAR, set_tile=set_tile)
+    assert {r.doc_id for r in kept.collect()} == want
