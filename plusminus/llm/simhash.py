@@ -88,10 +88,12 @@ def distinct(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def signature(text: str | None, shingle: int = SHINGLE, words64: int = 1, seed: int = SEED) -> list[int]:
-    """The fingerprint's words, a digest of the set of shingles and the size of the set: equal for equal sets alone."""
-    hashes = list(shingles(text, shingle, seed))
-    found = distinct(hashes)
-    return [*voted(hashes, words64), xxhash.xxh3_64_intdigest(found.tobytes()), len(found)]
+    """The fingerprint's words, a digest of the set of shingles and the size of the set: equal for equal sets alone.
+
+    Each distinct shingle votes once, as the similarity of sets counts it.
+    """
+    found = distinct(list(shingles(text, shingle, seed)))
+    return [*voted([found], words64), xxhash.xxh3_64_intdigest(found.tobytes()), len(found)]
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words64: int = 1, seed: int = SEED, of: Callable[..., list[int]] = fingerprint) -> DataFrame:

@@ -234,3 +234,20 @@ def test_near_duplicates_by_brute_force_similarity(spark, tmp_path, set_tile):
     assert 60 < len(want) < 180
     kept = simhash.one_of_each(docs, pipeline.SHINGLE, pipeline.RADIUS, pipeline.WORDS64, similar=pipeline.SIMILAR, set_tile=set_tile)
     assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_a_repeated_block_votes_once(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng, rows = random.Random(13), []
+    for _ in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words + words[:12] * 100))]
+    menu = [f"m{k}" for k in range(64)]
+    rows += [(len(rows) + k, " ".join(menu * 5 + [f"w{rng.randrange(10**6)}" for _ in range(244)])) for k in range(6)]
+    docs = text_table(spark, tmp_path / "d", rows)
+    want = kept_by_hand(rows, pipeline.SHINGLE)
+    assert want == {0, 2, 4, 6, 8, 10, *range(12, 18)}
+    assert {r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()} == want
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a[:4], b[:4], strict=True))
+    prints = [simhash.signature(t, pipeline.SHINGLE, pipeline.WORDS64) for _, t in rows]
+    assert apart(prints[0], prints[1]) <= 40 and apart(prints[12], prints[13]) > 60
