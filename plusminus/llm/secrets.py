@@ -3,7 +3,8 @@
 Places of matches: the text split by a pattern gives what stands between the matches, and extracting all gives the
 matches; running sums of their lengths are the starts in code points.
 
-The battery looks at every run of 20 or more characters of an encoding's alphabet that holds no base match. The
+The battery looks at every run of 20 or more characters of an encoding's alphabet that holds no base match; runs of
+standard base64 with a slash are tested beside the runs between slashes, and what is found of both is joined. The
 narrowest alphabet that holds the run is inferred as its encoding. Three tests:
 - chi-squared uniformity: Pearson's statistic of the symbol counts against an even use of the alphabet. Under the
   null hypothesis "the run is written text", with the collision rate of its encoding's written text, the statistic is
@@ -31,6 +32,10 @@ VALUE = r"[A-Za-z0-9+/_.=-]+"
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 CANDIDATE = r"[A-Za-z0-9+_=-]{20,}"
+#: Standard base64 has a slash, as paths have: a run with one is tested whole, and its parts between slashes too.
+SLASHED = r"[A-Za-z0-9+/]{20,}={0,2}"
+#: What a text with a run of either class has.
+EITHER = r"[A-Za-z0-9+/_=-]{20,}"
 #: Inferred encodings, narrowest first: name, pattern, alphabet in order, collision rate of written text in it.
 ENCODINGS = (
     ("decimal", r"[0-9]+", "0123456789", 0.20),
@@ -39,6 +44,7 @@ ENCODINGS = (
     ("lower", r"[a-z]+", "abcdefghijklmnopqrstuvwxyz", 0.066),
     ("alnum36", r"[a-z0-9]+", "0123456789abcdefghijklmnopqrstuvwxyz", 0.062),
     ("base62", r"[A-Za-z0-9]+", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.060),
+    ("standard", r"[A-Za-z0-9+/]+=*", "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.058),
     ("base64", r"[A-Za-z0-9+_=-]+", "+-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", 0.058),
 )
 GATE_Z, FDR, GRID = 2.58, 0.01, 50
@@ -139,12 +145,28 @@ def discoveries(tested: DataFrame, fdr: float = FDR) -> DataFrame:
     return tested.join(limit, "length_class").filter(F.col("step") <= F.col("limit"))
 
 
+def _joined(spans: Column) -> Column:
+    """spans by start, those that overlap as one."""
+
+    def step(out: Column, m: Column) -> Column:
+        last = F.element_at(out, -1)
+        rest = F.substring(m["body"], (last["end"] - m["start"] + 1).cast("int"), F.lit((1 << 31) - 1))
+        both = F.struct(last["start"].alias("start"), m["end"].alias("end"), last["kind"].alias("kind"), F.concat(last["body"], rest).alias("body"))
+        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(both))
+        return F.when((F.size(out) == 0) | (m["start"] >= last["end"]), F.concat(out, F.array(m))).when(m["end"] > last["end"], longer).otherwise(out)
+
+    empty = F.array().cast("array<struct<start:long,end:long,kind:string,body:string>>")
+    return F.aggregate(F.array_sort(spans), empty, step)
+
+
 def random_runs(docs: DataFrame) -> DataFrame:
     """(row, found): for rows with any, the runs that the battery finds, as (start, end, kind, body); docs has row and text."""
-    runs = docs.filter(F.col("text").rlike(CANDIDATE)).select("row", base_spans(F.col("text")).alias("base"), matches(F.col("text"), CANDIDATE, "random").alias("runs"))
+    runs = docs.filter(F.col("text").rlike(EITHER))
+    slashed = F.filter(matches(F.col("text"), SLASHED, "random"), lambda m: F.contains(m["body"], F.lit("/")))
+    runs = runs.select("row", base_spans(F.col("text")).alias("base"), F.concat(matches(F.col("text"), CANDIDATE, "random"), slashed).alias("runs"))
     free = F.filter("runs", lambda r: ~F.exists(F.col("base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     runs = runs.select("row", F.explode(free).alias("m")).select("row", "m", F.col("m")["body"].alias("body"))
-    return discoveries(battery(runs)).groupBy("row").agg(F.collect_list("m").alias("found"))
+    return discoveries(battery(runs)).groupBy("row").agg(_joined(F.collect_list("m")).alias("found"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -174,7 +196,7 @@ def masked(docs: DataFrame, mask: str) -> DataFrame:
     """
     row, base, found = fresh("row"), fresh("base"), fresh("found")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    may = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
+    may = F.coalesce(F.col("text").rlike(EITHER), F.lit(False))
     runs = random_runs(numbered.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))).select(F.col("row").alias(row), F.col("found").alias(found))
     plain = numbered.filter(~may).withColumn(base, base_spans(F.col("text")))
     tested = numbered.filter(may).join(runs, row, "left").withColumn(base, F.concat(base_spans(F.col("text")), F.coalesce(F.col(found), F.array())))

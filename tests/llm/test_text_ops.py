@@ -151,6 +151,9 @@ def test_base_spans(spark, tmp_path):
         assert set(want.split(",")) <= set(r.spans.split(",")) or not want
 
 
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
 def key(rng, n, alphabet="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
     return "".join(rng.choice(alphabet) for _ in range(n))
 
@@ -170,6 +173,31 @@ def test_battery_finds_random_runs_and_leaves_words(spark, tmp_path):
     assert secrets.masked(docs, "[x]").columns == docs.columns
 
 
+def test_battery_finds_keys_with_slashes_whole_and_leaves_paths(spark, tmp_path):
+    rng = random.Random(17)
+    keys = [key(rng, n, BASE64) for n in (40, 44, 64) for _ in range(40)]
+    keys = [k[:9] + "/" + k[10:17] + "+" + k[18:27] + "/" + k[28:] for k in keys]
+    words = vocabulary(5, 300)
+    paths = ["/".join(rng.choice(words) for _ in range(8)) for _ in range(40)] + ["usr/local/share/documentation/packages/python", "src/main/java/org/example/project/module/Handler", "either/or/and/both/neither/nor"]
+    rows = [(i, f"before {k} after", None) for i, k in enumerate(keys)] + [(200 + i, f"see {p} there", None) for i, p in enumerate(paths)]
+    rows.append((300, f"see usr/local/share/{key(rng, 60)} there", None))
+    docs = docs_of(spark, tmp_path / "d", rows)
+    found = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    assert sum(found[i] == f"random:7:{7 + len(k)}" for i, k in enumerate(keys)) >= 0.85 * len(keys)
+    assert not any(found[200 + i] for i in range(len(paths)))
+    assert found[300].endswith(":80")
+    masked = {r.doc_id: r.text for r in secrets.masked(docs, "[x]").collect()}
+    assert all(masked[i] == "before [x] after" for i, k in enumerate(keys) if found[i] == f"random:7:{7 + len(k)}")
+    assert masked[200] == rows[len(keys)][1]
+
+
+def test_spans_that_overlap_are_joined(spark):
+    spans = [(5, 9, "random", "efgh"), (0, 6, "random", "0bcdee"), (9, 12, "random", "ijk"), (20, 30, "random", "0123456789"), (22, 25, "random", "234")]
+    df = spark.createDataFrame([(spans,)], "s array<struct<start:long,end:long,kind:string,body:string>>")
+    found = df.select(secrets._joined(F.col("s")).alias("s")).first().s
+    assert [tuple(x) for x in found] == [(0, 9, "random", "0bcdeefgh"), (9, 12, "random", "ijk"), (20, 30, "random", "0123456789")]
+
+
 def test_secrets_odd_inputs(spark, tmp_path):
     long = "word " * 200_000 + "password=hunter22 " + "é" * 10 + " password=hunter33"
     rows = [(1, None, None), (2, "", None), (None, "token=abcdef", None), (3, "secret: 'abcdefg'", None), (3, "secret: 'abcdefg'", None), (4, long, None), (5, "token=0123456789abcdef0123456789abcdef x", None)]
