@@ -1,7 +1,8 @@
 """The recurrence of pieces.Vocabulary for many prefixes at once, in arrays.
 
 A prefix is a row with the last piece of its best encoding and its score. Candidate edges (row before, piece, row) are
-given by either operator - from a suffix array or from a trie - in the order of the prefixes' lengths.
+given by either operator - from a suffix array or from a trie - in the order of the prefixes' lengths. The prefixes of one
+unit depend on each other, so a unit of very many characters is relaxed edge by edge (Chain), in tiles of positions.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from plusminus.llm.pieces import BPE, Vocabulary
 START = -1
 #: Slots of the table of pairs, as a power of two.
 SLOT_BITS = 20
+#: Units of more characters are relaxed on their own, and positions whose edges are held at once.
+ALONE, TILE = 256, 1 << 16
+#: What an entry of Kept takes besides its own characters, about.
+ENTRY = 200
 
 
 class Pairs:
@@ -62,21 +67,77 @@ class Pairs:
 
 
 class Kept:
-    """What is known of distinct units, in two generations: units that don't come again are forgotten."""
+    """What is known of distinct units, in two generations of at most so many bytes: units that don't come again are forgotten."""
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.size, self.young, self.old = most, 0, {}, {}
+
+    def put(self, units: list[str], values: list) -> None:
+        self.young.update(zip(units, values, strict=True))
+        self.size += sum(map(len, units)) + sum(len(v) for v in values if isinstance(v, bytes)) + ENTRY * len(units)
 
     def missing(self, units: set[str]) -> list[str]:
         """The units of which nothing is known; the others are all in `young` afterwards."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
         new = [u for u in units if u not in self.young]
         again = [u for u in new if u in self.old]
-        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self.put(again, list(map(self.old.__getitem__, again)))
         return [u for u in new if u not in self.young]
 
 
+class Chain:
+    """The prefixes of one unit of n characters, one after the other: add() gets the edges of a tile, by end, the longest first."""
+
+    def __init__(self, n: int, pairs: Pairs):
+        self.n, self.pairs, self.merge = n, pairs, pairs.words.kind == BPE
+        self.last, self.before, self.score = [-2] * (n + 1), [-1] * (n + 1), [-np.inf] * (n + 1)
+        self.last[0], self.score[0] = START, 0.0
+
+    def add(self, starts: np.ndarray, pieces: np.ndarray, ends: np.ndarray) -> None:
+        last, before, score, names, follows = self.last, self.before, self.score, self.pairs.names, self.pairs.words.follows
+        if self.merge:
+            for s, p, e in zip(starts.tolist(), pieces.tolist(), ends.tolist(), strict=True):
+                if last[e] == -2 and last[s] != -2 and (last[s] == START or follows(names[last[s]], names[p])):
+                    last[e], before[e] = p, s
+            return
+        for s, p, e, x in zip(starts.tolist(), pieces.tolist(), ends.tolist(), self.pairs.score(pieces).tolist(), strict=True):
+            if last[s] != -2 and score[s] + x > score[e]:
+                last[e], before[e], score[e] = p, s, score[s] + x
+
+    def pieces(self) -> np.ndarray:
+        """The pieces of the whole unit, in order."""
+        out, at = [], self.n
+        while at > 0:
+            out.append(self.last[at])
+            at = self.before[at]
+        return np.array(out[::-1], np.int64)
+
+
+def with_lone(starts: np.ndarray, ends: np.ndarray, pieces: np.ndarray, codes: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges by end, the longest first, with one more for each character that no piece of one character covers."""
+    single = np.zeros(len(codes), bool)
+    single[starts[ends - starts == 1]] = True
+    lone = np.flatnonzero(~single)
+    numbers = np.array([pairs.number(chr(c)) for c in codes[lone].tolist()], np.int64)
+    starts, ends, pieces = np.concatenate([starts, lone]), np.concatenate([ends, lone + 1]), np.concatenate([pieces, numbers])
+    order = np.lexsort((starts, ends))
+    return starts[order], ends[order], pieces[order]
+
+
+def chained(unit: str, longest: int, pairs: Pairs, edges) -> np.ndarray:
+    """The pieces of a unit of any length; edges gives starts, ends and numbers of the pieces in an array of code points."""
+    codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)
+    chain = Chain(len(codes), pairs)
+    for done in range(0, len(codes), TILE):
+        first = max(0, done - longest)  # edges that end in this tile may start before it
+        part = codes[first : done + TILE]
+        starts, ends, pieces = with_lone(*edges(part), part, pairs)
+        new = ends + first > done
+        chain.add(starts[new] + first, pieces[new], ends[new] + first)
+    return chain.pieces()
+
+
 class States:
     """Arrays over rows: last piece (-2 where there is no way), score and the row before."""
 

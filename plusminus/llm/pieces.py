@@ -13,11 +13,17 @@ import heapq
 import math
 from collections import Counter
 
+import numpy as np
+import regex
 import sentencepiece
 
 UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 NONE = -1
+#: A blank with the characters up to the next blank, or blanks alone.
+UNIT = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Units of more characters are cut wherever no piece reaches across.
+LONG = 48
 
 
 def default_path() -> str:
@@ -82,6 +88,31 @@ class Vocabulary:
     def normalize(self, text: str) -> str:
         return self.library.normalize(text)
 
+    @functools.cached_property
+    def neighbours(self) -> np.ndarray:
+        """All pairs of characters that stand side by side in a piece, as sorted numbers."""
+        return np.unique(np.array([ord(a) << 32 | ord(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)], np.int64))
+
+    def units(self, text: str | None) -> list[str]:
+        """A text's normalized form as parts whose encodings, side by side, are the encoding of the whole.
+
+        A part ends before a blank that follows another character, if no piece of the vocabulary reaches over such a place;
+        a long one is cut also between any two characters that stand side by side in no piece.
+        """
+        normalized = self.normalize(text) if text else ""
+        units = UNIT.findall(normalized) if self.splits else [normalized] if normalized else []
+        if len(normalized) > LONG and max(map(len, units)) > LONG:
+            units = [part for u in units for part in (self.cut(u) if len(u) > LONG else (u,))]
+        return units
+
+    def cut(self, unit: str) -> list[str]:
+        codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pairs = codes[:-1] << 32 | codes[1:]
+        at = np.minimum(np.searchsorted(self.neighbours, pairs), max(0, len(self.neighbours) - 1))
+        apart = np.flatnonzero(self.neighbours[at] != pairs) + 1 if len(self.neighbours) else np.arange(1, len(unit))
+        bounds = [0, *apart.tolist(), len(unit)]
+        return [unit[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+
     def merged(self, text: str) -> list[str]:
         """The library's merges of a text's characters: the best score first, of equal ones the leftmost."""
         parts: list[str | None] = list(text)

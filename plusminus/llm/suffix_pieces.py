@@ -6,8 +6,8 @@ in it: the first and last suffix that begin with it are found by binary search,
 suffixes are the piece's occurrences. Occurrences are the edges of a lattice; sorted by how far from the start of their unit they
 end, they are relaxed in one pass, all edges of one distance together (lockstep.States).
 
-A unit is a text's normalized form up to the next blank that follows another character, if no piece of the vocabulary
-reaches over such a place; otherwise it is the whole text. Texts are sequences of units, so a unit is encoded once a batch.
+Texts are sequences of units (pieces.Vocabulary.units), between which no piece can lie, so a unit is encoded once a
+batch, and one that was met lately is remembered. A unit of very many characters is matched in tiles of positions.
 """
 
 from __future__ import annotations
@@ -17,21 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from plusminus.llm.common import slices, table, text_of
-from plusminus.llm.lockstep import Kept, Pairs, States
-from plusminus.llm.pieces import SPACE, Vocabulary, default_path, vocabulary
+from plusminus.llm.lockstep import ALONE, Kept, Pairs, States, chained
+from plusminus.llm.pieces import Vocabulary, default_path, vocabulary
 
 #: Rows of one batch and characters of its concatenated units; more units make a further array.
 ROWS, CHARACTERS = 1024, 1 << 19
-#: Units kept with their ids in each Python worker.
-KEPT = 300_000
+#: Bytes of units with their ids that a Python worker keeps, in each of two generations.
+KEPT = 64 << 20
 #: Stands between units; no code point and so in no piece.
 BETWEEN = 0x110000
-#: A blank with the characters up to the next blank, or blanks alone.
-UNIT = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, n_byte_tokens long, decoded_crc32 long, round_trip boolean"
 
 
@@ -101,14 +98,14 @@ class SuffixEncoder:
         self.numbered = np.array(list(words.ids.values()) or [0], np.int64)
         self.kept = Kept(KEPT)
 
-    def units(self, text: str | None) -> list[str]:
-        normalized = self.words.normalize(text) if text else ""
-        return UNIT.findall(normalized) if self.words.splits else [normalized] if normalized else []
-
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        units = [self.units(t) for t in texts]
+        units = [self.words.units(t) for t in texts]
         waiting, start = self.kept.missing(set().union(*units)), 0
+        for unit in (u for u in waiting if len(u) > ALONE):
+            found = chained(unit, self.words.longest, self.pairs, self.edges)
+            self.kept.put([unit], [self._ids(found, found)[0].astype("<u4").tobytes()])
+        waiting = [u for u in waiting if len(u) <= ALONE]
         while start < len(waiting):
             end, size = start, 0
             while end < len(waiting) and (end == start or size + len(waiting[end]) <= CHARACTERS):
@@ -176,7 +173,7 @@ class SuffixEncoder:
         ids, of_unit = self._ids(found[order], of_unit[order])
         packed = ids.astype("<u4").tobytes()
         cuts = (np.concatenate([[0], np.cumsum(np.bincount(of_unit, minlength=n))]) * 4).tolist()
-        self.kept.young.update(zip(units, [packed[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
+        self.kept.put(units, [packed[i:j] for i, j in zip(cuts, cuts[1:], strict=False)])
 
 
 _ENCODERS: dict[str, SuffixEncoder] = {}
@@ -205,7 +202,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and text of rows of doc_id and ids: the text of the library's decode(); null ids give an empty text."""
+    """doc_id and text of rows of doc_id and ids: the text of the library's decode().
+
+    Null or no ids give an empty text. Each row, repeated ones too, is decoded on its own; an empty table gives no rows.
+    """
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,8 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
 def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
     """For each row of docs: tokens, their CRC-32 (little-endian unsigned 32-bit), byte tokens, the CRC-32 of the decoded text, and whether it is the text.
 
-    A null text counts as empty.
+    A null text counts as empty. Each row, repeated ones too, is encoded on its own; a null doc_id stays null; an empty
+    table gives no rows.
     """
     path = path or default_path()
 

@@ -1,12 +1,13 @@
 """Token counts (5): forward scores over a trie of pre-tokens.
 
-The distinct pre-tokens of a batch (the units of suffix_pieces) make a trie. A node stands for a prefix, and its forward
+The distinct pre-tokens of a batch (pieces.Vocabulary.units) make a trie. A node stands for a prefix, and its forward
 state - the score of the best way to it, the tokens of that way, its last piece - is computed once, from the states of
 its ancestors, however many pre-tokens share the prefix: the pieces that end at a node are those among the last
 characters of its path. A pre-token's count is that of the node where it ends, and is kept for later batches.
 
 The trie is held as arrays. With the pre-tokens sorted, the prefix of length k of one is a new node where it differs
-from that of the one before; nodes of one depth are computed together.
+from that of the one before; nodes of one depth are computed together. A pre-token of very many characters is a path of
+its own, whose states are computed one after the other (lockstep.Chain).
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from plusminus.llm.common import slices, table, text_of
-from plusminus.llm.lockstep import Kept, Pairs, States
+from plusminus.llm.lockstep import ALONE, Kept, Pairs, States, chained
 from plusminus.llm.pieces import Vocabulary, default_path, vocabulary
-from plusminus.llm.suffix_pieces import UNIT
 
-ROWS, KEPT = 1024, 200_000
+#: Rows of one batch, and bytes of pre-tokens with their counts that a Python worker keeps, in each of two generations.
+ROWS, KEPT = 1024, 48 << 20
 #: Characters of the pre-tokens of one trie, as a matrix of equally wide rows; more make a further trie.
 CELLS = 1 << 21
 SCHEMA = "doc_id long, n_units long, n_tokens long, n_chars long"
@@ -46,6 +47,20 @@ class PieceTable:
             self.by_size[size] = (h[order], numbers[order], grid[order])
         self.longest = max(self.by_size, default=1)
 
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and numbers of all pieces in an array of code points."""
+        sums, starts, ends, found = np.zeros(len(codes) + 1, np.uint64), [], [], []
+        for size in range(1, min(self.longest, len(codes)) + 1):
+            sums = sums[:-1] * BASE + codes[size - 1 :].astype(np.uint64) + np.uint64(1)  # of the size characters from each place on
+            if size in self.by_size:
+                piece = self.find(size, sums, np.lib.stride_tricks.sliding_window_view(codes, size))
+                hit = np.flatnonzero(piece >= 0)
+                starts.append(hit)
+                ends.append(hit + size)
+                found.append(piece[hit])
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(starts or none), np.concatenate(ends or none), np.concatenate(found or none)
+
     def find(self, size: int, h: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """The number of the piece of each row of chars, by its hash; -1 for none."""
         out = np.full(len(h), -1, np.int64)
@@ -64,14 +79,15 @@ class TrieCounter:
         self.nodes = 0  # computed so far
         self.extra: dict[int, int] = {}
 
-    def units(self, text: str | None) -> list[str]:
-        normalized = self.words.normalize(text) if text else ""
-        return UNIT.findall(normalized) if self.words.splits else [normalized] if normalized else []
-
     def count_batch(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """Units and tokens of each text."""
-        units = [self.units(t) for t in texts]
+        units = [self.words.units(t) for t in texts]
         waiting, start = sorted(self.kept.missing(set().union(*units)), key=len), 0
+        while waiting and len(waiting[-1]) > ALONE:
+            unit = waiting.pop()
+            found = chained(unit, self.table.longest, self.pairs, self.table.edges)
+            self.nodes += len(unit)
+            self.kept.put([unit], [len(found) + int(self._more(found).sum())])
         while start < len(waiting):  # of like lengths, so that rows of the matrix are about full
             end = start + 1
             while end < len(waiting) and (end + 1 - start) * len(waiting[end]) <= CELLS and len(waiting[end]) <= 2 * len(waiting[start]) + 8:
@@ -137,7 +153,7 @@ class TrieCounter:
             node_of.pop(depth - self.table.longest, None)
             hash_of.pop(depth - self.table.longest, None)
         self.nodes += rows - 1
-        self.kept.young.update(zip(units, tokens.tolist(), strict=True))
+        self.kept.put(units, tokens.tolist())
 
 
 _COUNTERS: dict[str, TrieCounter] = {}
