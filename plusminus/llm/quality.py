@@ -3,7 +3,8 @@
 A document is compressed whole and in fixed chunks of its UTF-8 bytes; the ratio is compressed over raw bytes.
 Repetitive text has a low ratio, random or encoded text a high one. The limits depend on the length, as a short
 text can hardly be compressed and a long one shares more. A document goes if its whole ratio leaves its band, or
-if more than half of its chunks leave theirs.
+if more than half of its chunks leave theirs. The last chunk is the last CHUNK bytes, so that no byte is left out; a
+text of fewer bytes is its own chunk. Texts of under 128 bytes get no verdict: frame headers decide their ratio.
 """
 
 from __future__ import annotations
@@ -18,10 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from plusminus.llm.common import per_text, table, text_of, word_lists
 
 LEVEL, CHUNK = 3, 4096
-#: (from this many bytes, least ratio, largest ratio); below the first row there is no verdict.
-BANDS = ((128, 0.15, 1.02), (512, 0.15, 0.90), (2048, 0.12, 0.80), (8192, 0.10, 0.72), (65536, 0.08, 0.68), (1 << 20, 0.06, 0.66))
-#: The chunks' own band: all are about CHUNK bytes.
-CHUNK_BAND = (0.12, 0.78)
+#: (from this many bytes, least ratio, largest ratio); below the first row there is no verdict. The limits are about 0.6
+#: and 1.3 times the median ratio of the documents of a length that pass the base rules (sf0.1: 0.72, 0.63, 0.57, 0.51,
+#: 0.48, 0.45, 0.44, 0.42 from the first row on), the last rows carried on from those before.
+BANDS = (
+    (128, 0.42, 0.94), (256, 0.38, 0.82), (512, 0.34, 0.74), (1024, 0.31, 0.66), (2048, 0.29, 0.62), (4096, 0.27, 0.59),
+    (8192, 0.26, 0.57), (16384, 0.25, 0.55), (65536, 0.23, 0.54), (1 << 20, 0.20, 0.53),
+)
+#: The chunks' own band: all are CHUNK bytes.
+CHUNK_BAND = (0.27, 0.59)
 BAD_CHUNKS = 0.5
 #: Base rules.
 LEAST_WORDS, WINDOW, MOST_REPEATED_PERCENT = 20, 8, 30
@@ -83,8 +89,8 @@ class Bands:
         if not (limits := band(len(data))):
             return True, None, 0, 0
         whole, bad, n = self.ratio(data), 0, 0
-        for start in range(0, len(data) - self.chunk + 1, self.chunk):
-            n += 1
+        for start in range(0, len(data), self.chunk) if len(data) >= self.chunk else ():
+            start, n = min(start, len(data) - self.chunk), n + 1
             bad += not CHUNK_BAND[0] <= self.ratio(data[start : start + self.chunk]) <= CHUNK_BAND[1]
         return limits[0] <= whole <= limits[1] and bad <= BAD_CHUNKS * n, whole, bad, n
 

@@ -9,6 +9,7 @@ library as it is.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,10 @@ import regex
 from plusminus.llm.common import pieces
 
 END_ID = 1
-#: Chunks, and pre-tokens, kept in each Python worker, in two generations each; about 200 MB in all.
-KEPT = 300_000
+#: Bytes of chunks, and of pre-tokens, with their ids that a Python worker keeps, in two generations each: four times this in all.
+KEPT = 32 << 20
+#: What an entry takes besides its own bytes, about.
+ENTRY = 180
 #: Pre-tokens of one call of the library.
 BLOCK = 2_000
 #: The vocabulary's own pre-token pattern (fixed value), and the line ends that stand between chunks here.
@@ -39,6 +42,27 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Recent:
+    """Values by key in two generations: the older one goes when the younger one is full, so that memory is bounded by bytes."""
+
+    def __init__(self, most: int):
+        self.most, self.size, self.young, self.old = most, 0, {}, {}
+
+    def put(self, keys: Iterable, values: Iterable[bytes]) -> None:
+        for k, v in zip(keys, values, strict=True):
+            self.young[k] = v
+            self.size += ENTRY + len(k) + len(v)
+
+    def renewed(self, keys: Iterable) -> list:
+        """Those of keys, each given once, that aren't known; the others are young afterwards, and stay so until the next call."""
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        new = [k for k in keys if k not in self.young]
+        again = [k for k in new if k in self.old]
+        self.put(again, map(self.old.__getitem__, again))
+        return [k for k in new if k not in self.young]
+
+
 class WordEncoder:
     """encode(text) gives little-endian unsigned 32-bit ids as bytes, equal to the library's for the whole text."""
 
@@ -54,7 +78,7 @@ class WordEncoder:
         self.size = max(vocabulary.values()) + 1
         self.last = np.zeros(self.size, bool)
         self.last[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
-        self.kept, self.chunks, self.tokens, self.old_chunks, self.old_tokens = kept, {}, {}, {}, {}
+        self.chunks, self.tokens = Recent(kept), Recent(kept)
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_column(pa.array([text], pa.string()))[0]
@@ -92,56 +116,39 @@ class WordEncoder:
 
     def _of(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of some distinct chunks."""
-        found = list(map(self.chunks.get, words))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if missing:
-            if len(self.chunks) > self.kept:
-                self.old_chunks, self.chunks = self.chunks, {}
-            new = [words[i] for i in missing]
-            again = [w for w in new if w in self.old_chunks]
-            self.chunks.update(zip(again, map(self.old_chunks.__getitem__, again), strict=True))
-            self._learn([w for w in new if w not in self.chunks])
-            for i in missing:
-                found[i] = self.chunks[words[i]]
-        return found
+        if new := self.chunks.renewed(words):
+            self._learn(new)
+        return list(map(self.chunks.young.__getitem__, words))
 
     def _learn(self, new: list[bytes]) -> None:
-        new = [w for w in new if w]
-        self.chunks[b""] = b""
+        if b"" in new:
+            self.chunks.put([b""], [b""])
+            new = [w for w in new if w]
         if not new:
             return
         text = b"\n".join(new).decode("utf-8", "surrogatepass")
         if SPECIAL in text or not PLAIN.fullmatch(text):
             plain = [w for w in new if PLAIN.fullmatch(c := w.decode("utf-8", "surrogatepass")) and SPECIAL not in c]
-            for w in set(new).difference(plain):
-                self.chunks[w] = np.array(self.whole.encode(w.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
+            others = list(set(new).difference(plain))
+            self.chunks.put(others, (np.array(self.whole.encode(w.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes() for w in others))
             new, text = plain, b"\n".join(plain).decode()
             if not new:
                 return
         flat = PRE_TOKEN.findall(text.lower())  # none of these characters changes under NFC
-        distinct = set(flat)
-        if len(self.tokens) > self.kept:
-            self.old_tokens, self.tokens = self.tokens, {}
-        self.tokens["\n"] = BETWEEN
-        missing = distinct.difference(self.tokens)
-        again = [t for t in missing if t in self.old_tokens]
-        self.tokens.update(zip(again, map(self.old_tokens.__getitem__, again), strict=True))
-        missing = list(missing.difference(again))
+        missing = self.tokens.renewed(set(flat).difference("\n"))
         for start in range(0, len(missing), BLOCK):
             self._merge(missing[start : start + BLOCK])
-        found = b"".join(map(self.tokens.__getitem__, flat)).split(BETWEEN)
-        self.chunks.update(zip(new, found, strict=True))
+        self.tokens.young["\n"] = BETWEEN
+        self.chunks.put(new, b"".join(map(self.tokens.young.__getitem__, flat)).split(BETWEEN))
 
     def _merge(self, block: list[str]) -> None:
         ids = np.array(self.merges.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(block) or ends[-1] != len(ids):  # not a vocabulary with word ends
-            for token in block:
-                self.tokens[token] = np.array(self.whole.encode(token, add_special_tokens=False).ids, "<u4").tobytes()
+            self.tokens.put(block, (np.array(self.whole.encode(token, add_special_tokens=False).ids, "<u4").tobytes() for token in block))
             return
-        data, at = ids.tobytes(), 0
-        for token, end in zip(block, (ends * 4).tolist(), strict=True):
-            self.tokens[token], at = data[at:end], end
+        data, bounds = ids.tobytes(), [0, *(ends * 4).tolist()]
+        self.tokens.put(block, (data[i:j] for i, j in zip(bounds, bounds[1:], strict=False)))
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
@@ -152,3 +159,8 @@ def encoder(path: str, kept: int = KEPT) -> WordEncoder:
     if (path, kept) not in _ENCODERS:
         _ENCODERS[path, kept] = WordEncoder(path, kept)
     return _ENCODERS[path, kept]
+
+
+def forget() -> None:
+    """Drops this worker's encoders: the worker may serve other stages next."""
+    _ENCODERS.clear()
