@@ -26,40 +26,52 @@ from plusminus.llm.common import saved
 #: shingles), unrelated ones by 128 (8). Each candidate's similarity is then computed from its sets of shingles.
 SHINGLE, WORDS64, RADIUS, SIMILAR = 5, 4, 72, (4, 5)
 MASK = "[secret]"
-#: Python workers outlive a stage: what packing remembers stays in their memory beside the other stages' needs.
-KEPT_WORDS = 40_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python a few MB at a time: the buffers of an executor's JVM keep the size of the largest batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+#: Python workers outlive a stage: packing remembers words, a few MB of them, for the length of a task alone.
+KEPT_WORDS = 16 << 20
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; a null or empty text has none. The model learns from docs itself."""
-    small_batches(spark)
-    return docs.filter(language.recognised(language.train(docs)))
+    """Documents with a recognised language; a null or empty text has none. The model learns from docs itself.
+
+    Repeated rows share one answer; where no row has a label, no language is known and every document goes. An empty table
+    stays empty. All columns stay as they are.
+    """
+    return language.recognised(docs, language.train(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one of the smallest doc_id, and of equal ids one of them."""
-    small_batches(spark)
+    """One row of each group of near duplicates: the one of the smallest doc_id, and of equal ids the first in the files.
+
+    A null doc_id comes last. Null, empty and blank texts are one group. A document in no group stays. An empty table
+    stays empty. All columns stay as they are.
+    """
     return simhash.one_of_each(docs, SHINGLE, RADIUS, WORDS64, similar=SIMILAR)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    """Every document, without the passages that an earlier one has; of equal texts the one of the smallest doc_id keeps them.
+
+    A null text stays null, and a text that is a repeat as a whole becomes empty. An empty table stays empty. Other columns
+    stay as they are.
+    """
     return substring_dedup.without_repeats(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with MASK in place of each span that holds a secret; overlapping spans get one.
+
+    Null and empty texts stay as they are, and repeated rows are masked alike. An empty table stays empty. Other columns
+    stay as they are.
+    """
     return secrets.masked(docs, MASK)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    return packing.pack(docs, kept=KEPT_WORDS)
+    """One row for each piece of each document, with its place in a sequence; a null or empty text is the end id alone.
+
+    Repeated rows are packed each on its own. An empty table gives no rows.
+    """
+    return packing.pack(docs, kept=KEPT_WORDS, forgets=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -12,13 +12,18 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII white space: what bytes.split() splits on.
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Texts are worked on in pieces of about this many bytes, so that memory stays bounded for any length.
 PIECE = 1 << 20
+#: Rows and bytes of an Arrow batch, and rows of a reader's batch, of texts: an executor's buffers, and the workers', keep
+#: the size of the largest one.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Set here only where it is unset and Spark is one process (tests)."""
     context = spark.sparkContext
     if found := context.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
     if not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="plusminus-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -43,13 +50,40 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside send texts to Python a few MB at a time; the session's own settings hold again afterwards."""
+    before = {k: spark.conf.get(k) for k in SMALL_BATCHES}
+    try:
+        for k, v in SMALL_BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage is cut and a lost executor costs no recomputation."""
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver, sent by Arrow: from a list, Spark would start Python workers on the executors to read them."""
+    kind = StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+    fields = to_arrow_schema(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, fields, strict=True)], schema=fields), schema=kind)
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df as they are, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def fresh(name: str) -> str:
     """A column name that no input has."""
     return f"__{name}_{uuid.uuid4().hex}"

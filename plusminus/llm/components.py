@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Each round is two aggregations and two joins over the links, written to the shared folder. A node with
-very many links is aggregated before the shuffle; the join back to its links reads them in one task, as two
-numbers each. Nothing is collected but a count and a checksum for each round.
+very many links is aggregated before the shuffle. What was aggregated is written too, so that both sides of the
+join back are plain shuffles, of which Spark splits a partition that one node's links make too large. Nothing
+is collected but a count and a checksum for each round.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ def _state(links: DataFrame) -> tuple:
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = saved(least, "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    links = saved(links, "stars")
+    least = saved(links.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = links.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 

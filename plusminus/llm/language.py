@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import released, slices, table, text_of
+from plusminus.llm.common import columns_of, fresh, released, saved, slices, table, text_of
+from plusminus.llm.lookup import looked_up, numbered
 
 ORDERS, BUCKETS = (1, 2, 3, 4), 1 << 14
-#: Labelled texts for training, of all languages together, and the bytes of one: the bound of the sample. Longer texts are not trained on.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 20_000
+#: Labelled texts for training, of all languages together, and the characters of one: the bound of the sample. Of a longer
+#: text a part of this length is trained on, its place drawn by hash. Every whole text is predicted.
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
 #: Up to so many languages have all distinct splits as bits; more have random codewords of LONG_CODE bits.
 EXHAUSTIVE, LONG_CODE = 6, 48
 SMOOTHING, SHARPNESS = 0.5, 6.0
@@ -145,20 +147,23 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model of the labelled rows of docs that aren't held out: about rows of them at most, drawn by hash, evenly by language.
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS, most_chars: int = SAMPLE_CHARS) -> Model:
+    """A model of the labelled rows of docs that aren't held out: about rows of them, drawn by hash, evenly by language.
 
-    A language with few texts gives all of them. Without a labelled row the model knows no language.
+    A language with few texts gives all of them; 2 * rows are never exceeded. Without a labelled row the model knows no
+    language. Languages beyond the `rows` most frequent ones are not learned.
     """
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count")).limit(rows).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()}
     if not counts:
         return fit([], [])
     each = max(1, rows // len(counts))
     share = F.create_map(*(F.lit(v) for g, n in counts.items() for v in (g, min(1.0, each / n))))
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id", "text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * float(1 << 20)
-    drawn = known.filter(draw & (F.octet_length("text") <= most_bytes)).limit(2 * rows).select("text", "lang").collect()
+    drawn = known.withColumn("h", F.xxhash64(F.lit("draw"), "doc_id", "text"))
+    drawn = drawn.filter(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * float(1 << 20))
+    place = F.pmod(F.shiftrightunsigned("h", 20), F.greatest(F.char_length("text") - most_chars, F.lit(0)) + 1).cast("int") + 1
+    drawn = drawn.select(F.substring("text", place, F.lit(most_chars)).alias("text"), "lang", "h").orderBy("h", "text").limit(2 * rows).collect()
     return fit([r["text"] for r in drawn], [r["lang"] for r in drawn])
 
 
@@ -178,20 +183,25 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return text_of(docs).mapInArrow(released(run), SCHEMA)
 
 
-def recognised(model: Model, text: str = "text"):
-    """A column: whether a text has a letter and a language whose codeword is clearly the nearest; false for a null."""
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text has a letter and a language whose codeword is clearly the nearest; columns stay as they are.
 
-    def judge(columns):
-        for texts in columns:
-            yield pa.array([found != UNKNOWN and not ambiguous for found, _, ambiguous in map(model.predict, (x.as_py() for x in texts))], pa.bool_())
-
-    judge = released(judge)
-
-    @F.arrow_udf("boolean")
-    def known(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from judge(columns)
+    A null, empty or blank text goes, and so does a text in no known language. Repeated rows share one answer. An empty
+    table gives no rows.
+    """
+    row, goes = fresh("row"), fresh("goes")
+    rows = numbered(docs, row)
 
-    return known(F.col(text).cast("string"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = map(model.predict, batch.column("text").to_pylist())
+            batch = batch.filter(pa.array([lang == UNKNOWN or ambiguous for lang, _, ambiguous in found], pa.bool_()))
+            yield pa.record_batch([batch.column("row"), pa.array([True] * batch.num_rows, pa.bool_())], ["row", "goes"])
+
+    texts = rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
+    gone = saved(texts.mapInArrow(released(run), "row long, goes boolean"), "gone")
+    marked = looked_up(rows, row, gone.select(F.col("row").alias(row), F.col("goes").alias(goes)), goes)
+    return marked.filter(F.col(goes).isNull()).select(*columns_of(docs))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

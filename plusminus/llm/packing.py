@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import released, slices, table, text_of
-from plusminus.llm.word_tokens import END_ID, KEPT, default_path, encoder
+from plusminus.llm.common import released, saved, slices, table, text_of
+from plusminus.llm.word_tokens import END_ID, KEPT, default_path, encoder, forget
 
 LENGTH = 2048
 #: Documents of one group on average. More give less padding: the last bins of a group are the ones with room.
@@ -63,10 +63,17 @@ PIECES = "doc_id long, row long, start long, length long, ids_crc32 long, doc_to
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _cut(path: str, capacity: int, end_id: int, kept: int):
+def _cut(path: str, capacity: int, end_id: int, kept: int, forgets: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from cut(batches)
+        finally:
+            if forgets:
+                forget()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path, kept)
         for batch in slices(batches, 4096):
             rows = []
@@ -95,16 +102,17 @@ def _pack(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, group_rows: int = GROUP_ROWS, seed: int = SEED, end_id: int = END_ID, kept: int = KEPT) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, group_rows: int = GROUP_ROWS, seed: int = SEED, end_id: int = END_ID, kept: int = KEPT, forgets: bool = False) -> DataFrame:
     """One row for each piece of each document: where its ids are and which place of which sequence they take.
 
     A null or empty text is the end id alone. Rows with a null or repeated doc_id are packed like any other.
     An empty table gives no rows. Sequence ids are unique over all groups; offsets have no gaps. The ids of a
-    document of n tokens make ceil(n / capacity) pieces. kept: how many distinct words a Python worker remembers.
+    document of n tokens make ceil(n / capacity) pieces. kept: bytes of words with their ids that a Python worker
+    remembers; with forgets only until its task ends.
     """
     groups = max(1, -(-docs.count() // group_rows))
     rows = text_of(docs).withColumn("row", F.monotonically_increasing_id())
-    cut = rows.mapInArrow(released(_cut(path or default_path(), capacity, end_id, kept)), PIECES)
+    cut = saved(rows.mapInArrow(released(_cut(path or default_path(), capacity, end_id, kept, forgets)), PIECES), "pieces")
     bucket = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups))
     return cut.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_pack(capacity), PACKED)
 

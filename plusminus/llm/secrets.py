@@ -3,6 +3,9 @@
 Places of matches: the text split by a pattern gives what stands between the matches, and extracting all gives the
 matches; running sums of their lengths are the starts in code points.
 
+Texts are read once for the spans of the base patterns and the runs; only these, with the row's number, are kept for what
+follows. masked() reads them once more to replace spans.
+
 The battery looks at every run of 20 or more characters of an encoding's alphabet that holds no base match; runs of
 standard base64 with a slash are tested beside the runs between slashes, and what is found of both is joined. The
 narrowest alphabet that holds the run is inferred as its encoding. Three tests:
@@ -22,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import fresh, table, text_of
+from plusminus.llm.common import columns_of, fresh, saved, table, text_of
+from plusminus.llm.lookup import numbered
 
 KINDS = ("assign", "access", "hex")
 #: The base patterns (fixed values); assign's second group needs LEAST["assign"] characters, the others the whole match.
@@ -34,8 +38,9 @@ LEAST_VALUE = 6
 CANDIDATE = r"[A-Za-z0-9+_=-]{20,}"
 #: Standard base64 has a slash, as paths have: a run with one is tested whole, and its parts between slashes too.
 SLASHED = r"[A-Za-z0-9+/]{20,}={0,2}"
-#: What a text with a run of either class has.
+#: What a text with a run of either class has, and one with any span.
 EITHER = r"[A-Za-z0-9+/_=-]{20,}"
+ANY = f"{EITHER}|{ASSIGN}"
 #: Inferred encodings, narrowest first: name, pattern, alphabet in order, collision rate of written text in it.
 ENCODINGS = (
     ("decimal", r"[0-9]+", "0123456789", 0.20),
@@ -50,6 +55,9 @@ ENCODINGS = (
 GATE_Z, FDR, GRID = 2.58, 0.01, 50
 #: Lengths from which a class begins.
 CLASSES = (20, 24, 32, 48, 64, 128, 256)
+#: Matches whose places are summed up at once.
+BLOCK = 256
+SPANS = "array<struct<start:long,end:long,kind:string,body:string>>"
 
 
 def matches(text: Column, pattern: str, kind: str) -> Column:
@@ -57,8 +65,19 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
     return _located(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), kind)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once, however often it is used in functions of elements."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _located(between: Column, found: Column, kind: str) -> Column:
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,kind:string,body:string>>").alias("out"))
+    """found with their places, by running sums of lengths: in blocks, so that many matches cost little more each than few."""
+    size = lambda p: F.char_length(p["gap"]).cast("long") + F.char_length(p["body"]).cast("long")
+
+    def block_step(state: Column, block: Column) -> Column:
+        after = state["at"] + F.aggregate(block, F.lit(0).cast("long"), lambda total, p: total + size(p))
+        one = F.struct(state["at"].alias("at"), block.alias("pairs"))
+        return F.struct(after.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.char_length(pair["gap"]).cast("long")
@@ -66,9 +85,14 @@ def _located(between: Column, found: Column, kind: str) -> Column:
         one = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), pair["body"].alias("body"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    pairs = F.transform(found, lambda body, i: F.struct(F.get(between, i).alias("gap"), body.alias("body")))
-    empty = F.array().cast("array<struct<start:long,end:long,kind:string,body:string>>")
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(empty)
+    def places(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda i: F.slice(pairs, i * BLOCK + 1, BLOCK))
+        placed = F.array().cast("array<struct<at:long,pairs:array<struct<gap:string,body:string>>>>")
+        begun = F.aggregate(blocks, F.struct(F.lit(0).cast("long").alias("at"), placed.alias("out")), block_step, lambda s: s["out"])
+        out = F.transform(begun, lambda b: F.aggregate(b["pairs"], F.struct(b["at"].alias("at"), F.array().cast(SPANS).alias("out")), step, lambda s: s["out"]))
+        return F.filter(F.flatten(out), lambda m: m["body"].isNotNull())  # what stands after the last match has none
+
+    return _once(F.zip_with(between, found, lambda gap, body: F.struct(gap.alias("gap"), body.alias("body"))), places)
 
 
 def base_spans(text: Column) -> Column:
@@ -145,63 +169,58 @@ def discoveries(tested: DataFrame, fdr: float = FDR) -> DataFrame:
     return tested.join(limit, "length_class").filter(F.col("step") <= F.col("limit"))
 
 
-def _joined(spans: Column) -> Column:
-    """spans by start, those that overlap as one."""
+def _disjoint(spans: DataFrame) -> DataFrame:
+    """(row, start, end): the spans of each row, those that overlap as one."""
+    by_start = Window.partitionBy("row").orderBy("start", "end")
+    reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    begins = spans.withColumn("begins", F.when(F.col("start") < reached, 0).otherwise(1))
+    return begins.withColumn("one", F.sum("begins").over(by_start)).groupBy("row", "one").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("one")
 
-    def step(out: Column, m: Column) -> Column:
-        last = F.element_at(out, -1)
-        rest = F.substring(m["body"], (last["end"] - m["start"] + 1).cast("int"), F.lit((1 << 31) - 1))
-        both = F.struct(last["start"].alias("start"), m["end"].alias("end"), last["kind"].alias("kind"), F.concat(last["body"], rest).alias("body"))
-        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(both))
-        return F.when((F.size(out) == 0) | (m["start"] >= last["end"]), F.concat(out, F.array(m))).when(m["end"] > last["end"], longer).otherwise(out)
 
-    empty = F.array().cast("array<struct<start:long,end:long,kind:string,body:string>>")
-    return F.aggregate(F.array_sort(spans), empty, step)
+def spans_and_runs(rows: DataFrame) -> DataFrame:
+    """rows with base, the base spans of text, and runs, what the battery tests: runs of an alphabet that meet no base span."""
+    text = F.col("text")
+    slashed = F.filter(matches(text, SLASHED, "random"), lambda m: F.contains(m["body"], F.lit("/")))
+    runs = F.when(text.rlike(EITHER), F.concat(matches(text, CANDIDATE, "random"), slashed)).otherwise(F.array().cast(SPANS))
+    rows = rows.withColumn("base", base_spans(text)).withColumn("runs", runs).drop("text")
+    return rows.withColumn("runs", F.filter("runs", lambda r: ~F.exists(F.col("base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
 
 
-def random_runs(docs: DataFrame) -> DataFrame:
-    """(row, found): for rows with any, the runs that the battery finds, as (start, end, kind, body); docs has row and text."""
-    runs = docs.filter(F.col("text").rlike(EITHER))
-    slashed = F.filter(matches(F.col("text"), SLASHED, "random"), lambda m: F.contains(m["body"], F.lit("/")))
-    runs = runs.select("row", base_spans(F.col("text")).alias("base"), F.concat(matches(F.col("text"), CANDIDATE, "random"), slashed).alias("runs"))
-    free = F.filter("runs", lambda r: ~F.exists(F.col("base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    runs = runs.select("row", F.explode(free).alias("m")).select("row", "m", F.col("m")["body"].alias("body"))
-    return discoveries(battery(runs)).groupBy("row").agg(_joined(F.collect_list("m")).alias("found"))
+def random_spans(spans: DataFrame) -> DataFrame:
+    """(row, start, end): the runs that the battery finds, those that overlap as one. spans: row and runs, read from files."""
+    runs = spans.select("row", F.explode("runs").alias("m")).select("row", "m.start", "m.end", "m.body")
+    # The rule needs all p-values twice; runs are few, and are tested once.
+    tested = saved(battery(runs).select("row", "start", "end", "runs_z", "serial_z", "p", "length_class"), "tested")
+    return _disjoint(discoveries(tested).select("row", "start", "end"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, row (place in the input), base and found: arrays of (start, end, kind, body) of base and random spans.
-
-    docs: read from files, so that two scans number its rows alike.
-    """
+    """doc_id, row (a number), base and found: arrays of (start, end, kind, ...) of base and random spans."""
     rows = text_of(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", "row", base_spans(F.col("text")).alias("base")).join(random_runs(rows), "row", "left").withColumn("found", F.coalesce("found", F.array()))
-
-
-def _masked(text: Column, spans: Column, mask: str) -> Column:
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("next"))
-
-    def step(s: Column, m: Column) -> Column:
-        gap = F.concat(F.substring(text, s["next"].cast("int") + 1, F.greatest(m["start"] - s["next"], F.lit(0)).cast("int")), F.lit(mask))
-        return F.struct(F.when(m["start"] >= s["next"], F.concat(s["out"], gap)).otherwise(s["out"]).alias("out"), F.greatest(s["next"], m["end"]).alias("next"))
-
-    whole = F.aggregate(F.array_sort(spans), start, step, lambda s: F.concat(s["out"], F.substring(text, s["next"].cast("int") + 1, F.lit((1 << 31) - 1))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    spans = saved(spans_and_runs(rows), "spans")
+    found = random_spans(spans).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.lit("random").alias("kind")))).alias("found"))
+    return spans.drop("runs").join(found, "row", "left").withColumn("found", F.coalesce("found", F.array()))
 
 
 def masked(docs: DataFrame, mask: str) -> DataFrame:
     """docs with every found span of text replaced by mask, overlapping spans by one; all rows and columns stay, nulls too.
 
-    docs: read from files, so that two scans number its rows alike. Only rows with a candidate run are joined.
+    Only rows that may have a span are joined. Repeated rows are masked alike; an empty table gives no rows.
     """
-    row, base, found = fresh("row"), fresh("base"), fresh("found")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    may = F.coalesce(F.col("text").rlike(EITHER), F.lit(False))
-    runs = random_runs(numbered.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))).select(F.col("row").alias(row), F.col("found").alias(found))
-    plain = numbered.filter(~may).withColumn(base, base_spans(F.col("text")))
-    tested = numbered.filter(may).join(runs, row, "left").withColumn(base, F.concat(base_spans(F.col("text")), F.coalesce(F.col(found), F.array())))
-    both = [x.withColumn("text", _masked(F.col("text"), F.col(base), mask)).select(*docs.columns) for x in (plain, tested)]
-    return both[0].unionByName(both[1])
+    row, hidden = fresh("row"), fresh("hidden")
+    rows, text = numbered(docs, row), F.col("text")
+    may = F.coalesce(text.rlike(ANY), F.lit(False))
+    spans = saved(spans_and_runs(rows.filter(may).select(F.col(row).alias("row"), text.cast("string").alias("text"))), "spans")
+    base = spans.select("row", F.explode("base").alias("m")).select("row", "m.start", "m.end")
+    every = _disjoint(base.unionByName(random_spans(spans)))
+    every = every.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(hidden))
+    place = F.col(hidden)
+    begin = lambda i: F.when(i > 0, F.get(place, i - 1)["end"]).otherwise(0).cast("int")
+    between = F.transform(place, lambda s, i: F.substring(text, begin(i) + 1, s["start"].cast("int") - begin(i)))
+    after = F.substring(text, F.element_at(place, -1)["end"].cast("int") + 1, F.lit((1 << 31) - 1))
+    whole = F.array_join(F.concat(between, F.array(after)), mask)
+    tested = rows.filter(may).join(saved(every, "hidden"), row, "left").withColumn("text", F.when(place.isNull(), text).otherwise(whole))
+    return rows.filter(~may).select(*columns_of(docs)).unionByName(tested.select(*columns_of(docs)))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -212,7 +231,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     there in the battery's rates. A null doc_id stays null. An empty table gives no rows.
     """
     count = lambda kind: F.size(F.filter("base", lambda m: m["kind"] == kind)).cast("long")
-    return scan(docs).select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.concat("base", "found")).alias("spans"))
+    return scan(docs).select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.concat(F.transform("base", lambda m: m.dropFields("body")), "found")).alias("spans"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,18 +24,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import fresh, released, saved, slices, table, text_of, word_lists
+from plusminus.llm.common import columns_of, few_rows, fresh, released, saved, slices, table, text_of, word_lists
 from plusminus.llm.components import components
-from plusminus.llm.lookup import looked_up, ranges, read_range
+from plusminus.llm.lookup import Found, looked_up, numbered, ranges, read_range, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints of one tile: two tiles and a block of their comparison take a few tens of MB.
 TILE = 8192
 BLOCK_A, BLOCK_B = 512, 2048
-#: Bytes of a row group of the tiles' files: a task reads few others besides the tile it asks for.
-ROW_GROUP = 1 << 20
-#: Least Jaccard similarity of near duplicates' sets, as a fraction, and texts of one tile of sets.
-SIMILAR, SET_TILE = (4, 5), 2048
+#: Least Jaccard similarity of near duplicates' sets, as a fraction, and hashes of one tile of sets, about (8 MB).
+SIMILAR, SET_TILE = (4, 5), 1 << 20
 #: Hashes that vote, or are looked for, at once.
 VOTES = 1 << 18
 GOLDEN = 0x9E3779B97F4A7C15
@@ -96,15 +94,17 @@ def signature(text: str | None, shingle: int = SHINGLE, words64: int = 1, seed:
     return [*voted([found], words64), xxhash.xxh3_64_intdigest(found.tobytes()), len(found)]
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words64: int = 1, seed: int = SEED, of: Callable[..., list[int]] = fingerprint) -> DataFrame:
-    """doc_id and fp, an array of the 64-bit words that `of` (fingerprint or signature) gives, as signed longs."""
+def fingerprints(texts: DataFrame, shingle: int = SHINGLE, words64: int = 1, seed: int = SEED, of: Callable[..., list[int]] = fingerprint) -> DataFrame:
+    """The columns of texts, longs but for text, and in place of text fp, the 64-bit words that `of` gives, as signed longs."""
+    others = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([of(x, shingle, words64, seed) for x in batch.column("text").to_pylist()], np.uint64).astype(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(list(found.reshape(batch.num_rows, -1)), pa.list_(pa.int64()))], ["doc_id", "fp"])
+            prints = pa.array(list(found.reshape(batch.num_rows, -1)), pa.list_(pa.int64()))
+            yield pa.record_batch([*(batch.column(c) for c in others), prints], [*others, "fp"])
 
-    return text_of(docs).mapInArrow(released(run), "doc_id long, fp array<long>")
+    return texts.mapInArrow(released(run), ", ".join(f"{c} long" for c in others) + ", fp array<long>")
 
 
 class Forest:
@@ -263,12 +263,13 @@ def _compared(placed: DataFrame, spans: list[tuple[int, int, int]], radius: int,
     """(u, v) of tile pairs: for each span (first, n, last) each of n tiles from first on, with itself and those up to last."""
     spark = placed.sparkSession
     # Tiles are written once and read by the tasks that compare them: what is shuffled is the numbers of pairs of tiles.
-    files = ranges(placed, "tile", ROW_GROUP)
+    files = ranges(placed, "tile")
     total = sum(n * (last - first + 1) for first, n, last in spans)
     tasks = min(max(total, 1), 8 * spark.sparkContext.defaultParallelism + total // 8)
-    pairs = spark.createDataFrame(spans, "first int, n int, last int")
+    pairs = few_rows(spark, spans, "first int, n int, last int")
     pairs = pairs.select(F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("tile"), "last")
-    pairs = pairs.select("tile", F.explode(F.sequence("tile", "last")).alias("other"))
+    # Each tile is a row by now: many tasks make its pairs.
+    pairs = pairs.repartition("tile").select("tile", F.explode(F.sequence("tile", "last")).alias("other"))
     dealt = pairs.repartition(tasks, "tile", "other").sortWithinPartitions("tile", "other")
     return dealt.mapInArrow(released(_compare(files, radius, width, similar, with_sets)), "u array<long>, v array<long>")
 
@@ -284,7 +285,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, words64: int = 1, tile: int =
     runs = tiles_of([(r[0], r[1]) for r in counted.groupBy("ones").count().collect()], tile)
     last = {first: max(f + m - 1 for low, _, f, m in runs if low <= high + radius) for _, high, first, _ in runs}
     plan = [(p, first, n) for low, high, first, n in runs for p in range(low, high + 1)]
-    placed = counted.join(F.broadcast(spark.createDataFrame(plan, "ones int, first int, n int")), "ones")
+    placed = counted.join(F.broadcast(few_rows(spark, plan, "ones int, first int, n int")), "ones")
     placed = placed.select((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).alias("tile"), "fp")
     return _compared(placed, [(first, n, last[first]) for _, _, first, n in runs], radius, words64 + (2 if similar else 0), similar)
 
@@ -299,23 +300,28 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, radius: int,
     near = components(links(nodes.select("fp"), radius, words64, tile, similar))
     near = near.select(F.col("u").alias("fp"), "root").unionByName(near.select(F.col("root").alias("fp"), "root").distinct())
     near = saved(nodes.join(near, "fp"), "near")
-    sizes = near.groupBy("root").count()
+    # Tiles are bounded by the sizes of their sets, which signatures end with.
+    sizes = near.groupBy("root").agg(F.sum(F.element_at("fp", -1)).alias("hashes"), F.count("*").alias("sets"))
     # Groups of over a tile: as many rows as there are tiles at most.
-    large = [(r["root"], -(-r["count"] // set_tile)) for r in sizes.filter(F.col("count") > set_tile).collect()]
-    rest = sizes.filter(F.col("count") <= set_tile).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    large = [(r["root"], min(r["sets"], -(-r["hashes"] // set_tile))) for r in sizes.filter(F.col("hashes") > set_tile).collect()]
+    rest = sizes.filter(F.col("hashes") <= set_tile).agg(F.coalesce(F.sum("hashes"), F.lit(0))).first()[0]
     bins = max(1, -(-rest // set_tile))
     firsts = bins + np.cumsum([0, *(n for _, n in large)])
-    plan = spark.createDataFrame([(root, int(first), n) for (root, n), first in zip(large, firsts[:-1], strict=True)], "root array<long>, first int, n int")
+    plan = few_rows(spark, [(root, int(first), n) for (root, n), first in zip(large, firsts[:-1], strict=True)], "root array<long>, first int, n int")
     own = F.col("first") + F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
     placed = near.join(F.broadcast(plan), "root", "left").select("row", F.struct(F.coalesce(own, F.pmod(F.xxhash64("root"), F.lit(bins)).cast("int")).alias("tile"), "fp").alias("place"))
-    of_row = looked_up(texts, "row", placed, "place").filter("place is not null").select("place.tile", "place.fp", "text")
+    # A text's place is looked up where its set is made: one Python worker a task, and no text is moved.
+    files, kind = written(placed, "row", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = Found(files, kind)
         for batch in slices(batches):
+            places = there.take(batch.column("row"))
+            batch, places = batch.filter(places.is_valid()), places.drop_null()
             found = [distinct(list(shingles(x, shingle, seed))).view(np.int64) for x in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("tile"), batch.column("fp"), pa.array(found, pa.list_(pa.int64()))], ["tile", "fp", "hashes"])
+            yield pa.record_batch([places.field("tile"), places.field("fp"), pa.array(found, pa.list_(pa.int64()))], ["tile", "fp", "hashes"])
 
-    sets = of_row.mapInArrow(released(run), "tile int, fp array<long>, hashes array<long>")
+    sets = texts.mapInArrow(released(run), "tile int, fp array<long>, hashes array<long>")
     spans = [(b, 1, b) for b in range(bins)] + [(int(first), n, int(first) + n - 1) for (_, n), first in zip(large, firsts[:-1], strict=True)]
     return _compared(saved(sets, "sets"), spans, radius, words64 + 2, similar, True)
 
@@ -336,7 +342,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     shingle has its whole sequence as the one shingle. Rows with a null doc_id are linked too; a component of such
     rows alone has a null component_id. Repeated rows each give a row. An empty table gives no rows.
     """
-    prints = saved(fingerprints(docs, shingle, words64, seed), "fingerprints")
+    prints = saved(fingerprints(text_of(docs), shingle, words64, seed), "fingerprints")
     least = _least_of_component(prints, F.col("doc_id"), lambda nodes: links(nodes.select("fp"), radius, words64, tile))
     return prints.join(least, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
@@ -344,24 +350,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def one_of_each(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, words64: int = 1, seed: int = SEED, tile: int = TILE, similar: tuple[int, int] = SIMILAR, set_tile: int = SET_TILE
 ) -> DataFrame:
-    """docs with one row of each component: the one of the smallest (doc_id, place in the input); a null doc_id comes last.
+    """docs with one row of each component: the one of the smallest (doc_id, row number); a null doc_id comes last.
 
     Texts are linked if their fingerprints differ by radius or fewer bits and their sets of shingles have a Jaccard
-    similarity of `similar` or more. docs: read from files, so that scans number its rows alike. Columns stay as they
-    are, and texts aren't shuffled, but sets of shingles of texts that have another within the radius are.
+    similarity of `similar` or more. All texts without a word have the one empty set. Of equal rows one stays. Columns stay
+    as they are, and texts aren't shuffled, but sets of shingles of texts that have another within the radius are.
+    An empty table gives no rows.
     """
-    row = fresh("row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    texts = numbered.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
-    # The place takes the part of the id through the fingerprints; ids are looked up by it.
-    prints = saved(fingerprints(texts.withColumnRenamed("row", "doc_id"), shingle, words64, seed, signature).withColumnRenamed("doc_id", "row"), "fingerprints")
-    prints = prints.join(numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id")), "row")
+    row, stays = fresh("row"), fresh("stays")
+    rows = numbered(docs, row)
+    texts = rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
+    known = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = saved(fingerprints(known, shingle, words64, seed, signature), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     least = _least_of_component(prints, order, lambda nodes: similar_links(nodes.select("fp", "least.row"), texts, shingle, radius, words64, seed, tile, similar, set_tile))
     kept = least.select(F.col("least")["row"].alias(row)).distinct()
-    stays = fresh("stays")
-    marked = looked_up(numbered, row, kept.withColumn(stays, F.lit(True)), stays)
-    return marked.filter(F.col(stays).isNotNull()).select(*docs.columns)
+    marked = looked_up(rows, row, kept.withColumn(stays, F.lit(True)), stays)
+    return marked.filter(F.col(stays).isNotNull()).select(*columns_of(docs))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import fresh, pieces, released, slices, table
+from plusminus.llm import lookup
+from plusminus.llm.common import columns_of, fresh, pieces, released, saved, slices, table
 from plusminus.llm.lookup import looked_up
 
 #: Passages of so many words are to be found; runs of whole repeated chunks count from RUN_WORDS.
@@ -106,8 +107,9 @@ def chunks(docs: DataFrame, cut_bits: int = CUT_BITS, most_words: int = MOST_WOR
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text and row, the place of the row in the input, which tells rows of one doc_id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    """doc_id, text and row, the number of the row in its files, which tells rows of one doc_id apart."""
+    row = fresh("row")
+    return lookup.numbered(docs, row).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
 
 
 def repeated_spans(rows: DataFrame, run_words: int = RUN_WORDS, cut_bits: int = CUT_BITS, most_words: int = MOST_WORDS) -> DataFrame:
@@ -157,18 +159,20 @@ def mark_repeats(docs: DataFrame, run_words: int = RUN_WORDS, cut_bits: int = CU
 def without_repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """docs with the repeated passages cut out of text; other columns and all rows stay. A null text stays null.
 
-    docs: read from files, so that two scans number its rows alike. Texts are cut where they are read; only chunks and
-    passages, as numbers, are shuffled.
+    Of equal texts the one with the smallest (doc_id, row number) keeps its passages. Texts are cut where they are read;
+    only chunks and passages, as numbers, are shuffled. An empty table gives no rows.
     """
     row, spans = fresh("row"), fresh("spans")
-    found = repeated_spans(numbered(docs), run_words)
-    found = found.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(spans))
-    text, begin = F.col("text"), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("next"))
-    after = lambda s: F.substring(text, s["next"].cast("int") + 1, F.lit((1 << 31) - 1))
-    step = lambda s, x: F.struct(F.concat(s["out"], F.substring(text, s["next"].cast("int") + 1, (x["start"] - s["next"]).cast("int"))).alias("out"), x["stop"].alias("next"))
-    left = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], after(s)))
-    joined = looked_up(docs.withColumn(row, F.monotonically_increasing_id()), row, found, spans)
-    return joined.withColumn("text", F.when(F.col(spans).isNull(), text).otherwise(left)).select(*docs.columns)
+    rows = lookup.numbered(docs, row)
+    found = repeated_spans(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), F.col("text").cast("string").alias("text")), run_words)
+    found = saved(found.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(spans)), "passages")
+    text, place = F.col("text"), F.col(spans)
+    # What stands between the passages, each part cut once: before the first, between neighbours, after the last.
+    begin = lambda i: F.when(i > 0, F.get(place, i - 1)["stop"]).otherwise(0).cast("int")
+    between = F.transform(place, lambda s, i: F.substring(text, begin(i) + 1, s["start"].cast("int") - begin(i)))
+    left = F.concat(F.array_join(between, ""), F.substring(text, F.element_at(place, -1)["stop"].cast("int") + 1, F.lit((1 << 31) - 1)))
+    joined = looked_up(rows, row, found, spans)
+    return joined.withColumn("text", F.when(place.isNull(), text).otherwise(left)).select(*columns_of(docs))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

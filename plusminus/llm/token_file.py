@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import file_system, shared_path, slices, table, text_of
+from plusminus.llm.common import few_rows, file_system, shared_path, slices, table, text_of
 from plusminus.llm.word_tokens import END_ID, default_path, encoder
 
 #: Fixed values of the zstd seekable format.
@@ -32,8 +32,8 @@ ENTRY = struct.Struct("<III")
 #: Ids of one frame at most: longer documents take several frames.
 FRAME_IDS = 1 << 20
 LEVEL = 3
-#: Documents of one file on average.
-FILE_ROWS = 8192
+#: Documents of one file on average, up to MOST_FILES files; then files grow, as each is a reduce partition and a manifest row.
+FILE_ROWS, MOST_FILES = 8192, 20_000
 
 
 class FileWriter:
@@ -128,8 +128,8 @@ def _write(folder: str, path: str, end_id: int):
             file.close()
             out.close()
             ids = file.index["doc_id"]
-            known = [d for d in (ids[0], ids[-1]) if d is not None]
-            row = {"part": [part], "path": [where], "documents": [len(ids)], "tokens": [sum(file.index["tokens"])], "first_doc": known[:1] or [None], "last_doc": known[-1:] or [None]}
+            first = next((d for d in ids if d is not None), None)  # null ids come first
+            row = {"part": [part], "path": [where], "documents": [len(ids)], "tokens": [sum(file.index["tokens"])], "first_doc": [first], "last_doc": [ids[-1]]}
             yield pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("documents", "tokens", "first_doc", "last_doc"))]))
 
     return run
@@ -142,7 +142,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, file_rows
     rather than one; null ids come first. A null text is empty; each document ends with the end id. An empty table
     gives an empty manifest.
     """
-    files = max(1, -(-docs.count() // file_rows))
+    files = min(MOST_FILES, max(1, -(-docs.count() // file_rows)))
     rows = text_of(docs).withColumn("row", F.monotonically_increasing_id())
     order = [F.col("doc_id").asc_nulls_first(), F.col("row").asc()]
     manifest = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("row").mapInArrow(_write(folder, path or default_path(), end_id), MANIFEST)
@@ -151,14 +151,15 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, file_rows
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
-    """Every document of the files, from the files: its doc_id, the ids before it, their number and CRC-32."""
+    """Every document of the files, from the files: its doc_id, the ids before it, their number and CRC-32.
+
+    Documents come as they were written: null ids first, repeated ones each on its own, a null or empty text as its end id
+    alone. An empty manifest gives no rows. A damaged frame is an error.
+    """
     spark, before, rows = manifest.sparkSession, 0, []
-    for r in sorted(manifest.select("part", "path", "tokens").collect()):  # a row for each file
+    for r in sorted(manifest.select("part", "path", "tokens").collect()):  # a row for each file, MOST_FILES at most
         rows.append((r.path, before))
         before += r.tokens
-    if not rows:
-        return spark.createDataFrame([], READ)
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
@@ -174,15 +175,20 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 starts = start + np.cumsum(n) - n
                 yield pa.record_batch([pa.array(file.doc_ids, pa.int64()), pa.array(starts), pa.array(n), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.createDataFrame(rows, "path string, start long").repartition(len(rows))
-    return files.mapInArrow(read, READ)
+    tasks = min(max(1, len(rows)), 8 * spark.sparkContext.defaultParallelism + len(rows) // 8)
+    return few_rows(spark, rows, "path string, start long").repartition(tasks).mapInArrow(read, READ)
 
 
 def read_documents(manifest: DataFrame, doc_ids: list[int]) -> dict[int, np.ndarray]:
-    """The ids of a few documents, on the driver: opens only files whose range can hold them."""
+    """The ids of a few documents, on the driver: opens only files whose range can hold them.
+
+    Ids that aren't there have no entry; of rows with one doc_id the last one's ids are given; null ids can't be asked for.
+    """
     found: dict[int, np.ndarray] = {}
+    if not doc_ids:
+        return found
     low, high = min(doc_ids), max(doc_ids)
-    for r in manifest.filter((F.col("first_doc").isNull() | (F.col("first_doc") <= high)) & (F.col("last_doc") >= low)).select("path").collect():
+    for r in manifest.filter((F.col("first_doc") <= high) & (F.col("last_doc") >= low)).orderBy("part").select("path").collect():
         fs, local = file_system(r.path)
         with fs.open_input_file(local) as stream:
             found |= FileReader(stream).find(doc_ids)

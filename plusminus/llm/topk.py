@@ -4,7 +4,8 @@ Vectors become integers (floor of 1024 times each component) and are packed in b
 rows in the order of each dimension. For a query the lists are read from the end that its sign favours, all to
 the same depth; rows met for the first time are scored in full. The bound at a depth is the sum over dimensions of
 the query's component times the value reached, and no unseen row scores above it, so reading ends once the bound is
-below the k-th score. Queries are packed in chunks; each (chunk, block) pair is one row of an equi-join.
+below the k-th score. Blocks, and chunks of queries, are written to the shared folder once; what is shuffled is the numbers
+of pairs of a block and a chunk, and the k results of each.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import saved, table
+from plusminus.llm.common import few_rows, released, saved, table
+from plusminus.llm.lookup import ranges, read_range
 
 K, SCALE, EVERY = 10, 1024, 100
 #: Vectors of a block and queries of a chunk on average: a few MB in a task, however large the tables are.
@@ -78,24 +80,28 @@ class Lists:
         return best[keep], score[keep], int(met.sum())
 
 
-def _search(k: int):
-    def column(batch: pa.RecordBatch, name: str, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = batch.column(name)[i].values
-        vectors = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-        return rows.field("id").to_numpy(), rows.field("row").to_numpy(), vectors.astype(np.float64)
+def _search(blocks: list[tuple[str, int, int]], chunks: list[tuple[str, int, int]], k: int):
+    def read(files: list[tuple[str, int, int]], place: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        rows = read_range(files, "place", place, place)
+        if rows is None or not len(rows):
+            return None
+        vectors = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        return rows.column("id").to_numpy(), rows.column("row").to_numpy(), vectors.astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lists, ids, places = None, None, None, None
+        last, held, lists = None, None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                if (now := (batch.column("size")[i].as_py(), batch.column("block")[i].as_py())) != last:
-                    ids, places, vectors = column(batch, "vectors", i)
-                    last, lists = now, Lists(vectors)
-                query_ids, query_rows, queries = column(batch, "queries", i)
+            for block, chunk in zip(batch.column("block").to_pylist(), batch.column("chunk").to_pylist(), strict=True):
+                if block != last:  # pairs of one block follow one another
+                    last, held = block, read(blocks, block)
+                    lists = Lists(held[2]) if held else None
+                asked = read(chunks, chunk)
+                if not held or not asked:
+                    continue
                 out: list[list] = [[], [], [], []]
-                for query_id, row, query in zip(query_ids.tolist(), query_rows.tolist(), queries, strict=True):
-                    at, score, _ = lists.search(query, ids, places == row, k)
-                    for c, v in zip(out, ([query_id] * len(at), [row] * len(at), ids[at], score), strict=True):
+                for query_id, row, query in zip(asked[0].tolist(), asked[1].tolist(), asked[2], strict=True):
+                    at, score, _ = lists.search(query, held[0], held[1] == row, k)
+                    for c, v in zip(out, ([query_id] * len(at), [row] * len(at), held[0][at], score), strict=True):
                         c.extend(v)
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["query_id", "query_row", "vec_id", "score"])
 
@@ -119,18 +125,21 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE, block:
     rows = saved(rows.select("id", "row", F.size("embedding").alias("size"), x.alias("v"), "asks"), "vectors")
     # One row for each vector length there is.
     n = {r["size"]: (max(1, -(-r["n"] // block)), max(1, -(-r["q"] // chunk))) for r in rows.groupBy("size").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()}
-    spark = vectors.sparkSession
-    plan = F.broadcast(spark.createDataFrame([(s, b, c) for s, (b, c) in n.items()], "size int, blocks long, chunks long"))
-    item = F.struct("id", "row", "v")
-    rows = rows.join(plan, "size")
-    blocks = rows.groupBy("size", F.pmod(F.xxhash64("row"), "blocks").alias("block")).agg(F.collect_list(item).alias("vectors"))
-    chunks = rows.filter("asks").groupBy("size", F.pmod(F.xxhash64("row"), "chunks").alias("chunk")).agg(F.collect_list(item).alias("queries"), F.max("blocks").alias("blocks"))
-    pairs = chunks.select("size", "chunk", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    total = sum(b * c for b, c in n.values())
+    spark, starts, first_block, first_chunk = vectors.sparkSession, [], 0, 0
+    for size, (b, c) in sorted(n.items()):  # numbers of blocks and chunks run on over the lengths
+        starts.append((size, first_block, b, first_chunk, c))
+        first_block, first_chunk = first_block + b, first_chunk + c
+    plan = few_rows(spark, starts, "size int, first_block long, blocks long, first_chunk long, chunks long")
+    placed, mixed = rows.join(F.broadcast(plan), "size"), F.xxhash64("row")
+    blocks = ranges(placed.select((F.col("first_block") + F.pmod(mixed, "blocks")).alias("place"), "id", "row", "v"), "place")
+    chunks = ranges(placed.filter("asks").select((F.col("first_chunk") + F.pmod(mixed, "chunks")).alias("place"), "id", "row", "v"), "place")
+    pairs = plan.select(F.explode(F.sequence(F.col("first_block"), F.col("first_block") + F.col("blocks") - 1)).alias("block"), "first_chunk", "chunks")
+    # Each block is a row by now: many tasks make its pairs.
+    pairs = pairs.repartition("block").select("block", F.explode(F.sequence(F.col("first_chunk"), F.col("first_chunk") + F.col("chunks") - 1)).alias("chunk"))
+    total = sum(b * c for _, _, b, _, c in starts)
     tasks = min(max(total, 1), 4 * spark.sparkContext.defaultParallelism + total // 64)
-    joined = pairs.join(blocks, ["size", "block"]).select("size", "block", "queries", "vectors")
-    found = joined.repartition(tasks, "size", "block").sortWithinPartitions("size", "block") if tasks < total else joined.repartition(tasks)
-    found = found.mapInArrow(_search(k), "query_id long, query_row long, vec_id long, score long")
+    dealt = pairs.repartition(tasks, "block", "chunk").sortWithinPartitions("block", "chunk")
+    found = dealt.mapInArrow(released(_search(blocks, chunks, k)), "query_id long, query_row long, vec_id long, score long")
     ranked = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -31,7 +31,7 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p
 PLAIN = regex.compile(r"[!-~¡-ɏ\n]*")
 SPECIAL = "<|"
 #: Bytes of text of one step; texts of more are cut.
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Stands between chunks in a run of ids; no vocabulary has this id.
 BETWEEN = b"\xff\xff\xff\xff"
 
@@ -110,7 +110,9 @@ class WordEncoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         starts, taken = np.cumsum(sizes) - sizes, sizes[index]
         after = np.cumsum(taken)
-        ids = ids[np.repeat(starts[index] - (after - taken), taken) + np.arange(after[-1] if len(after) else 0)]
+        at = np.repeat((starts[index] - (after - taken)).astype(np.int32), taken)  # a slice has far fewer ids than 2 ** 31
+        at += np.arange(len(at), dtype=np.int32)
+        ids = ids[at]
         bounds = np.concatenate([[0], after])[ends].tolist()
         return [ids[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
 

@@ -220,7 +220,7 @@ def text_table(spark, path, rows):
     return spark.read.parquet(str(path))
 
 
-@pytest.mark.parametrize("set_tile", [8, 2048])
+@pytest.mark.parametrize("set_tile", [1000, 1 << 20])
 def test_near_duplicates_by_brute_force_similarity(spark, tmp_path, set_tile):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng, rows = random.Random(12), []

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def test_language_odd_inputs(spark, tmp_path):
     assert len(found) == len(rows)
     assert {(41, "und", 0.0), (42, "und", 0.0), (43, "und", 0.0)} <= set(found)
     assert [g for i, g, _ in found if i in (44, None)] == ["en"] * 3
-    assert docs.filter(language.recognised(model)).count() == len(rows) - 3
+    assert language.recognised(docs, model).count() == len(rows) - 3
     none = language.train(docs.limit(0))
     assert {r.lang_pred for r in language.identify(docs, none).collect()} == {"und"}
     assert language.identify(docs.limit(0), model).count() == 0
@@ -100,7 +101,34 @@ def test_base_measures_of_the_table(spark, data):
         want = base_by_hand(r.text)
         assert (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words) == want
         assert f.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
-        assert f.kept == (not f.base_failed)  # none of these is repetitive or random beyond that
+        assert f.kept == (not f.base_failed and bands_by_hand(r.text))
+
+
+def bands_by_hand(text):
+    """The method's verdict, by plain compression."""
+    data, size = (text or "").encode(), len((text or "").encode())
+    limits = [row[1:] for row in quality.BANDS if row[0] <= size]
+    if not limits:
+        return True
+    ratio = lambda x: len(zstandard.compress(x, quality.LEVEL)) / len(x)
+    # The header of a frame that tells its content's size has up to 3 bytes more or less.
+    within = lambda x, low, high: low <= ratio(x) <= high
+    parts = [data[k : k + 4096] for k in range(0, size - 4095, 4096)] + ([data[-4096:]] if size > 4096 and size % 4096 else [])
+    return within(data, *limits[-1]) and 2 * sum(not within(p, *quality.CHUNK_BAND) for p in parts) <= len(parts)
+
+
+def test_the_verdict_rejects_repetition_noise_and_a_bad_tail(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    noise = lambda n: " ".join(key(rng, 60) for _ in range(n))
+    each = lambda n: " ".join(f"{w} " * 7 for w in words[:n])
+    texts = [prose(n) for n in (25, 60, 200, 800, 3000, 9000)] + [each(n) for n in (10, 40, 300, 2000)] + [noise(n) for n in (25, 200)]
+    texts += [prose(700)[:4096] + each(200)[:7900], each(20) + prose(900), "日本語の文章です。" * 3 + prose(50)]
+    found = {r.doc_id: r for r in quality.quality(docs_of(spark, tmp_path / "d", [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert [found[i].kept for i in range(len(texts))] == [not found[i].base_failed and bands_by_hand(t) for i, t in enumerate(texts)]
+    assert all(found[i].kept for i in range(6)) and not any(found[i].kept or found[i].base_failed for i in range(6, 13))
+    assert found[12].n_chunks == 3 and found[12].bad_chunks == 2  # the second of two full chunks, and the tail
 
 
 def test_compression_bands(spark, tmp_path):
@@ -113,7 +141,7 @@ def test_compression_bands(spark, tmp_path):
     assert bands.verdict(prose.encode())[0]
     assert not bands.verdict(noise.encode())[0] and not bands.verdict(repeated.encode())[0]
     # Whole ratio in its band, but three of four chunks repeat one word.
-    patchy = noise[:5000] + "word " * 3300
+    patchy = noise[:9000] + "word " * 3300
     kept, whole, bad, n = bands.verdict(patchy.encode())
     assert not kept and bad >= 3 and n >= 4 and whole >= quality.band(len(patchy))[0]
     rows = [(1, None, None), (2, "", None), (3, " \n ", None), (None, prose, None), (4, prose, None), (4, prose, None), (5, "short but twenty words " * 5, None), (6, noise, None)]
@@ -192,10 +220,20 @@ def test_battery_finds_keys_with_slashes_whole_and_leaves_paths(spark, tmp_path)
 
 
 def test_spans_that_overlap_are_joined(spark):
-    spans = [(5, 9, "random", "efgh"), (0, 6, "random", "0bcdee"), (9, 12, "random", "ijk"), (20, 30, "random", "0123456789"), (22, 25, "random", "234")]
-    df = spark.createDataFrame([(spans,)], "s array<struct<start:long,end:long,kind:string,body:string>>")
-    found = df.select(secrets._joined(F.col("s")).alias("s")).first().s
-    assert [tuple(x) for x in found] == [(0, 9, "random", "0bcdeefgh"), (9, 12, "random", "ijk"), (20, 30, "random", "0123456789")]
+    spans = [(1, 5, 9), (1, 0, 6), (1, 9, 12), (1, 20, 30), (1, 22, 25), (2, 0, 3)]
+    found = secrets._disjoint(spark.createDataFrame(spans, "row long, start long, end long")).collect()
+    assert sorted(tuple(x) for x in found) == [(1, 0, 9), (1, 9, 12), (1, 20, 30), (2, 0, 3)]
+
+
+def test_many_matches_keep_their_places(spark, tmp_path):
+    text = "".join(f"é token=abcdef{k} x" + " 0123456789abcdef01234567" * (k % 3) for k in range(700))
+    docs = docs_of(spark, tmp_path / "d", [(1, text, None)])
+    assert secrets.find_secrets(docs).first().spans == spans_by_hand(text)
+    at, want = 0, []
+    for m in re.finditer(r"token=\w+|[0-9a-f]{24,}", text):
+        want.append(text[at : m.start()])
+        at = m.end()
+    assert secrets.masked(docs, "#").first().text == "#".join([*want, text[at:]])
 
 
 def test_secrets_odd_inputs(spark, tmp_path):

@@ -1,5 +1,7 @@
 """Ops 1, 4, 5 and 7 against the tokenizer libraries, text by text."""
 
+import random
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plusminus.llm import packing, pieces, suffix_pieces, token_counts, token_file, word_tokens
+from plusminus.llm import lockstep, packing, pieces, suffix_pieces, token_counts, token_file, word_tokens
 
 TEXTS = [None, "", " ", "\n\n", "Hello  world", "it's I'LL don't 3.14 a1b22", "<|endoftext|> x<|startoftext|>y", "ÀÉß ñandú ǅ İ Σίσυφος ΑΣ", "日本語 🦊 é x́", "a" * 5000, "tab\tx\x1cy z　w\x85v", "\0", "▁a▁ ▁", "    " * 9, "� <0x41>", "the cat sat " * 300]
 SCHEMA = "doc_id long, text string, doc_id2 string"
@@ -79,7 +81,7 @@ def test_pieces_of_any_text(text):
     assert words.decode(want) == words.library.decode(want)
 
 
-class Unigram:
+class Unigram(pieces.Vocabulary):
     """A small unigram vocabulary, as pieces.Vocabulary has it."""
 
     kind, unknown_score, splits, unknown = pieces.UNIGRAM, -30.0, True, 0
@@ -111,11 +113,53 @@ def test_unigram_models_take_the_best_sum():
     names = {i: p for p, i in words.ids.items()}
     for text in ("abc", "ab cab", "aabbcc abcabc", "cabx bca", "xyz a"):
         ids = ids_of(code.encode_batch([text])[0])
-        want = sum(best_score(words, u) for u in code.units(text))
+        want = sum(best_score(words, u) for u in words.units(text))
         assert sum(words.scores[i] if i in names else words.unknown_score for i in ids) == pytest.approx(want)
         assert counter.count_batch([text])[0][1] == len(ids)
 
 
+LONG = {
+    "base64": lambda rng: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1 << 20)),
+    "one letter": lambda rng: "a" * (1 << 20),
+    "ideographs": lambda rng: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(1 << 18)),
+    "words": lambda rng: "".join(rng.choice(["the", "there", "nation", "ing", "ation", "er", "é"]) for _ in range(1 << 18)),
+    "unknown": lambda rng: "\U0001f98a" * 3000 + "ab" * 100,
+}
+
+
+@pytest.mark.parametrize("make", LONG.values(), ids=LONG)
+def test_a_long_text_without_a_blank_takes_seconds(library, make):
+    text, words = make(random.Random(5)), pieces.vocabulary(pieces.default_path())
+    want, began = library.encode(text), time.monotonic()
+    assert ids_of(suffix_pieces.SuffixEncoder(words).encode_batch([text])[0]) == want
+    assert token_counts.TrieCounter(words).count_batch([text])[0][1] == len(want)
+    assert time.monotonic() - began < 30
+
+
+def test_long_units_of_a_unigram_model(monkeypatch):
+    words, rng = Unigram(), random.Random(4)
+    monkeypatch.setattr(lockstep, "TILE", 50)
+    for n in (300, 1000):
+        text = "".join(rng.choice("abcabcabcx") for _ in range(n))
+        ids = ids_of(suffix_pieces.SuffixEncoder(words).encode_batch([text])[0])
+        names = {i: p for p, i in words.ids.items()}
+        assert sum(words.scores[i] if i in names else words.unknown_score for i in ids) == pytest.approx(best_score(words, words.normalize(text)))
+        assert token_counts.TrieCounter(words).count_batch([text])[0][1] == len(ids)
+
+
+def test_what_is_kept_is_bounded_by_bytes():
+    code = word_tokens.WordEncoder(word_tokens.default_path(), kept=100_000)
+    for k in range(40):
+        code.encode(" ".join(f"w{k}x{i}" for i in range(500)) + " " + "z" * 10_000)
+        for kept in (code.chunks, code.tokens):
+            assert sum(len(w) + len(v) + word_tokens.ENTRY for w, v in kept.young.items()) < 100_000 + 500 * 400 + 60_000
+    seen = lockstep.Kept(50_000)
+    for k in range(60):
+        new = seen.missing({f"u{k}{i}" for i in range(100)} | {"u"})
+        seen.put(new, [b"x" * 50] * len(new))
+        assert len(seen.young) < 400
+
+
 def test_the_trie_computes_a_shared_prefix_once():
     counter = token_counts.TrieCounter(Unigram())
     counter.count_batch(["abca abcb abcc abc"])
