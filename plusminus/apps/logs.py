@@ -1,7 +1,7 @@
 """Ready-made queries: access logs (8 tasks), page views (2), page lengths, in-links. Each is precise or approximate by its conf.
 
-Each takes records with a column `value`, a cluster expression and a unique order; a record that can't be parsed still
-counts as processed, it only has no key.
+Each takes records with a column `value`, a cluster expression and an order (a unique integer key, or columns; none of them
+to sample partitions as they are read); a record that can't be parsed still counts as processed, it only has no key.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from plusminus.conf import ApproxConf, Variance
 from plusminus.functions import text as T
 from plusminus.functions import wiki as W
 from plusminus.functions.stats import bucket
-from plusminus.operators.estimator import Sampled, approx_sum, estimate, precise_sum
-from plusminus.operators.sampling import block_sample, cluster_stats, keep_clusters
+from plusminus.operators.estimator import approx_sum, precise_sum
 
 TOTAL = "Total"
 
@@ -47,7 +46,7 @@ def view_tasks(line: Column) -> dict[str, tuple[Column, Column, Variance]]:
     }
 
 
-def run_task(tasks: Callable[[Column], dict], name: str, df: DataFrame, cluster: Column, order: list[Column], conf: ApproxConf, clusters: list | None = None, default: str | None = None) -> DataFrame:
+def run_task(tasks: Callable[[Column], dict], name: str, df: DataFrame, cluster: Column | None, order: Column | list[Column] | None, conf: ApproxConf, clusters: list | None = None, default: str | None = None) -> DataFrame:
     """A task by its name, in either case; an unknown one is an error unless there is a default."""
     found = tasks(F.col("value"))
     if name.lower() not in found and default is None:
@@ -56,28 +55,24 @@ def run_task(tasks: Callable[[Column], dict], name: str, df: DataFrame, cluster:
     return approx_sum(df, key, value, cluster, order, conf.with_(variance=variance), clusters)
 
 
-def access_log(task: str, df: DataFrame, cluster: Column, order: list[Column], conf: ApproxConf, clusters: list | None = None) -> DataFrame:
+def access_log(task: str, df: DataFrame, cluster: Column | None, order: Column | list[Column] | None, conf: ApproxConf, clusters: list | None = None) -> DataFrame:
     return run_task(log_tasks, task, df, cluster, order, conf, clusters)
 
 
-def page_views(task: str, df: DataFrame, cluster: Column, order: list[Column], conf: ApproxConf, clusters: list | None = None) -> DataFrame:
+def page_views(task: str, df: DataFrame, cluster: Column | None, order: Column | list[Column] | None, conf: ApproxConf, clusters: list | None = None) -> DataFrame:
     """Without a known task the key is project and page."""
     return run_task(view_tasks, task, df, cluster, order, conf, clusters, "page")
 
 
-def page_lengths(df: DataFrame, cluster: Column, order: list[Column], conf: ApproxConf, clusters: list | None = None) -> DataFrame:
+def page_lengths(df: DataFrame, cluster: Column | None, order: Column | list[Column] | None, conf: ApproxConf, clusters: list | None = None) -> DataFrame:
     """Pages by their length in bytes, in buckets of 100."""
     return approx_sum(df, bucket(F.octet_length("value")).cast("string"), F.lit(1), cluster, order, conf, clusters)
 
 
-def in_links(df: DataFrame, cluster: Column, order: list[Column], conf: ApproxConf, targets: Column | None = None) -> DataFrame:
+def in_links(df: DataFrame, cluster: Column | None, order: Column | list[Column] | None, conf: ApproxConf, targets: Column | None = None) -> DataFrame:
     """Pages that link to each target: targets are distinct in a page as they are written, and then normalised, so two
     spellings of one target in a page count twice."""
     targets = W.link_targets(F.col("value")) if targets is None else targets
-    spread = lambda rows: rows.withColumn("target", F.explode(F.array_distinct(targets))).withColumn("key", W.normalized_target(F.col("target")))
     if conf.precise:
-        return precise_sum(spread(df), F.col("key"), F.lit(1))
-    total = df.select(F.count_distinct(cluster.cast("string"))).first()[0]
-    placed = block_sample(keep_clusters(df, cluster, conf), cluster, order, conf)
-    hits = spread(placed.filter("sampled")).groupBy("key", "cluster").agg(F.count("*").cast("double").alias("y"))
-    return estimate(Sampled(hits, cluster_stats(placed), total), df.sparkSession, conf)
+        return precise_sum(df.withColumn("target", F.explode(F.array_distinct(targets))), W.normalized_target(F.col("target")), F.lit(1))
+    return approx_sum(df, F.transform(F.array_distinct(targets), W.normalized_target), F.lit(1), cluster, order, conf)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import functools
 import math
+import statistics
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: With no degree of freedom the normal quantile at 95 % stands in.
+#: With no degree of freedom the normal quantile stands in, at 95 % to two places.
 NO_FREEDOM = 1.96
 LONG_MAX = (1 << 63) - 1
 #: (least confidence, quantile): the table for minima (fixed values).
@@ -46,9 +47,9 @@ def t_cdf(t: float, df: float) -> float:
 
 @functools.lru_cache(maxsize=100_000)
 def t_quantile(df: int, confidence: float = 0.95) -> float:
-    """The two-sided quantile of Student's t, rounded to 9 places; NO_FREEDOM for df < 1."""
+    """The two-sided quantile of Student's t, rounded to 9 places; for df < 1 that of the normal distribution."""
     if df < 1:
-        return NO_FREEDOM
+        return NO_FREEDOM if confidence == 0.95 else round(statistics.NormalDist().inv_cdf((1 + confidence) / 2), 9)
     target, low, high = 1 - (1 - confidence) / 2, 0.0, 2.0
     while t_cdf(high, df) < target:
         high *= 2
@@ -60,15 +61,6 @@ def t_quantile(df: int, confidence: float = 0.95) -> float:
     return round((low + high) / 2, 9)
 
 
-#: Beyond so many degrees of freedom the quantile of the last row is used.
-MOST_DF = 1000
-
-
-def t_table(spark: SparkSession, confidence: float = 0.95, most: int = MOST_DF) -> DataFrame:
-    """(df, t) for df from 0 to most: a fixed number of rows, safe to broadcast."""
-    return spark.createDataFrame([(df, t_quantile(df, confidence)) for df in range(most + 1)], "df int, t double")
-
-
 def z_value(confidence: float) -> float:
     """The quantile for minima, by steps; below the table it is 1.0."""
     return next((z for least, z in Z_TABLE if confidence >= least), 1.0)

@@ -2,18 +2,22 @@
 
 Per key only three sums over clusters are needed - of the blown-up totals, of their squares, and of the variances
 within - so clusters where a key does not occur need no row: S2 = (sum of squares - sum ** 2 / n) / (n - 1).
+
+Records are read once: one aggregation gives, for each cluster and key, the hits and how many records there are and were
+processed. It is written to the shared folder, and all that follows reads these few rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plusminus.conf import ApproxConf, Variance
-from plusminus.functions.stats import LONG_MAX, MOST_DF, t_quantile, t_table
-from plusminus.operators.sampling import block_sample, cluster_stats, keep_clusters
+from plusminus.functions.stats import LONG_MAX, t_quantile
+from plusminus.operators.sampling import block_sample, cluster_stats, keep_clusters, keyed_sample, scan_sample
+from plusminus.shared import saved
 
 NULL_KEY = "NULLKEY"
 WORST_CASE_SHARE = 0.1
@@ -22,11 +26,16 @@ WORST_CASE_SHARE = 0.1
 @dataclass(frozen=True)
 class Sampled:
     """hits: (key, cluster, y), y the sum of a key's values over the processed records of a cluster.
-    stats: (cluster, pop_m, smp_m, s2), a row for each received cluster. total: how many clusters there are at all."""
+    stats: (cluster, pop_m, smp_m, s2), a row for each received cluster. total: how many clusters there are at all.
+    received: how many of them have a row in stats, if known."""
 
     hits: DataFrame
     stats: DataFrame
     total: int
+    received: int | None = None
+
+    def clusters(self) -> int:
+        return self.stats.count() if self.received is None else self.received
 
 
 def within(y: Column, pop: Column, smp: Column, s2: Column, variance: Variance) -> Column:
@@ -52,23 +61,19 @@ def with_moments(sampled: Sampled, variance: Variance) -> DataFrame:
     return rows.groupBy("key").agg(F.sum("yhat").alias("s1"), F.sum(F.col("yhat") * F.col("yhat")).alias("s2hat"), F.sum("w").alias("s_within"), F.sum("bad").alias("n_bad_p"))
 
 
-def totals(stats: DataFrame, total: int) -> DataFrame:
-    """One row: cn_tot clusters in all, cn_smp received."""
-    return stats.agg(F.lit(total).cast("long").alias("cn_tot"), F.count("*").alias("cn_smp"))
+def estimates(moments: DataFrame, cn_tot: int, cn_smp: int, confidence: float) -> DataFrame:
+    """(key, tau, half, n_bad_p): the estimate and the half-width, before rounding, from cn_smp of cn_tot clusters.
 
-
-def estimates(moments: DataFrame, totals_row: DataFrame, spark: SparkSession, confidence: float) -> DataFrame:
-    """(key, tau, half): the estimate and the half-width, before rounding; half is infinite where one cluster stands for many."""
-    t = t_table(spark, confidence).select(F.col("df"), F.col("t"))
-    size = totals_row.withColumn("df", F.least(F.col("cn_smp") - 1, F.lit(MOST_DF)).cast("int"))
-    # Both sides are one row and a fixed table; the moments meet them without a shuffle.
-    size = size.join(F.broadcast(t), "df", "left").select("cn_tot", "cn_smp", "t")
-    rows = moments.crossJoin(F.broadcast(size))
-    n_all, n = F.col("cn_tot").cast("double"), F.col("cn_smp").cast("double")
-    spread = F.greatest(F.try_divide(F.col("s2hat") - F.col("s1") * F.col("s1") / n, n - 1), F.lit(0.0))
-    between = F.when(F.col("cn_smp") == F.col("cn_tot"), 0.0).when(F.col("cn_smp") == 1, float("inf")).otherwise(n_all * (n_all - n) / n * spread)
+    half is infinite where one cluster stands for many.
+    """
+    n_all, n, t = float(cn_tot), float(max(cn_smp, 1)), t_quantile(cn_smp - 1, confidence)
+    between = F.lit(0.0)
+    if cn_smp < cn_tot:
+        spread = F.greatest(F.try_divide(F.col("s2hat") - F.col("s1") * F.col("s1") / n, F.lit(n - 1)), F.lit(0.0))
+        between = F.lit(float("inf")) if cn_smp == 1 else n_all * (n_all - n) / n * spread
     var = between + n_all / n * F.col("s_within")
-    return rows.select("key", (n_all / n * F.col("s1")).alias("tau"), F.when(var < 0, float("inf")).otherwise(F.col("t") * F.sqrt(F.greatest(var, F.lit(0.0)))).alias("half"), "n_bad_p")
+    half = F.when(var < 0, float("inf")).otherwise(t * F.sqrt(F.greatest(var, F.lit(0.0))))
+    return moments.select("key", (n_all / n * F.col("s1")).alias("tau"), half.alias("half"), "n_bad_p")
 
 
 def rounded(rows: DataFrame) -> DataFrame:
@@ -78,27 +83,39 @@ def rounded(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.floor(F.round("tau", 6)).cast("long").alias("value"), half.alias("range"))
 
 
-def null_key(sampled: Sampled, spark: SparkSession, variance: Variance, confidence: float) -> DataFrame:
+def null_key(sampled: Sampled, variance: Variance, confidence: float) -> DataFrame:
     """The row that bounds any key never seen: value 0, and the range of one hit in the cluster where it would weigh most."""
     weight = F.coalesce(F.try_divide(F.col("pop_m") * (F.col("pop_m") - F.col("smp_m")), F.col("smp_m").cast("double")), F.lit(0.0))
     worst = sampled.stats.select("cluster", weight.alias("weight")).orderBy(F.col("weight").desc(), F.col("cluster").asc()).limit(1)
     hit = worst.select(F.lit(NULL_KEY).alias("key"), "cluster", F.lit(1).cast("double").alias("y"))
     one = Sampled(hit, sampled.stats, sampled.total)
-    rows = estimates(with_moments(one, variance), totals(sampled.stats, sampled.total), spark, confidence)
+    rows = estimates(with_moments(one, variance), sampled.total, sampled.clusters(), confidence)
     return rounded(rows).withColumn("value", F.lit(0).cast("long"))
 
 
-def estimate(sampled: Sampled, spark: SparkSession, conf: ApproxConf) -> DataFrame:
+def estimate(sampled: Sampled, conf: ApproxConf) -> DataFrame:
     """(key, value, range) of every key with a hit, and the row for unseen keys if conf asks for it."""
-    rows = estimates(with_moments(sampled, conf.variance), totals(sampled.stats, sampled.total), spark, conf.confidence)
-    out = rounded(rows)
-    return out.unionByName(null_key(sampled, spark, conf.variance, conf.confidence)) if conf.null_key and not conf.precise else out
+    out = rounded(estimates(with_moments(sampled, conf.variance), sampled.total, sampled.clusters(), conf.confidence))
+    return out.unionByName(null_key(sampled, conf.variance, conf.confidence)) if conf.null_key and not conf.precise else out
 
 
-def hits_of(placed: DataFrame, key: Column, value: Column) -> DataFrame:
-    """(key, cluster, y) of processed records; a null key or value is no hit. The combine before the shuffle is Spark's own."""
-    taken = placed.filter("sampled").select(key.cast("string").alias("key"), "cluster", value.cast("double").alias("y"))
-    return taken.filter("key is not null and y is not null").groupBy("key", "cluster").agg(F.sum("y").alias("y"))
+def gathered(placed: DataFrame, key: Column, value: Column) -> tuple[DataFrame, DataFrame]:
+    """(hits, stats without s2) from one pass over placed; a null key or value is no hit.
+
+    key: a string, or an array of strings of which each is a hit. The combine before the shuffle is Spark's own, and what
+    is written is a row for each cluster and key.
+    """
+    rows = placed.select("cluster", "sampled", key.alias("key"), value.cast("double").alias("y"))
+    first = F.lit(True)
+    if rows.schema["key"].dataType.typeName() == "array":
+        keys = F.when(F.col("sampled"), F.col("key"))
+        rows = rows.select("cluster", "sampled", "y", F.posexplode_outer(keys).alias("place", "key"))
+        first = F.coalesce(F.col("place"), F.lit(0)) == 0  # a record is counted once
+    hit = F.when(F.col("sampled"), F.col("key").cast("string"))
+    sums = rows.groupBy("cluster", hit.alias("key")).agg(F.count_if(first).alias("pop_m"), F.count_if(first & F.col("sampled")).alias("smp_m"), F.sum(F.when(F.col("sampled"), F.col("y"))).alias("y"))
+    once = saved(sums, "sums")
+    stats = once.groupBy("cluster").agg(F.sum("pop_m").alias("pop_m"), F.sum("smp_m").alias("smp_m")).withColumn("s2", F.lit(None).cast("double"))
+    return once.filter("key is not null and y is not null").select("key", "cluster", "y"), stats
 
 
 def check_measure(df: DataFrame, value: Column) -> None:
@@ -107,20 +124,31 @@ def check_measure(df: DataFrame, value: Column) -> None:
         raise TypeError(f"a measure is a number, not {kind}")
 
 
-def sample_hits(df: DataFrame, key: Column, value: Column, cluster: Column, order: list[Column], conf: ApproxConf, clusters: list | None = None) -> Sampled:
+def sample_hits(df: DataFrame, key: Column, value: Column, cluster: Column | None, order: Column | list[Column] | None, conf: ApproxConf, clusters: list | None = None) -> Sampled:
     """Samples df and sums its hits. A record of a kept cluster counts for its population whether or not it is a hit.
 
-    clusters: all cluster values, if known; otherwise they are counted over df. Measures are not negative: a negative
-    one would take from a total that the variance counts as a gain.
+    order: a unique integer key, by which records are sampled as they are read, or a list of columns whose order gives
+    places (each cluster is sorted for it). cluster: None for the partitions of the scan, counted as they are read; then
+    no order is needed. clusters: all cluster values, if known. Measures are not negative: a negative one would take
+    from a total that the variance counts as a gain.
     """
     check_measure(df, value)
-    if clusters is None and not conf.precise and conf.keep_fraction < 1:
-        clusters = [r[0] for r in df.select(cluster.alias("c")).distinct().collect()]
-    kept = keep_clusters(df, cluster, conf, clusters)
-    placed = block_sample(kept, cluster, order, conf)
-    stats = cluster_stats(placed, value if conf.variance is Variance.MEASURED else None, conf.exact_s2)
-    total = len(clusters) if clusters is not None else df.select(F.count_distinct(F.coalesce(cluster.cast("string"), F.lit("\0")))).first()[0]
-    return Sampled(hits_of(placed, key, value), stats, total)
+    if cluster is None:
+        if conf.keep_fraction < 1:
+            raise ValueError("partitions of a scan can't be drawn before it: name a cluster to drop some")
+        placed = scan_sample(df, conf)
+    else:
+        if clusters is None and not conf.precise and conf.keep_fraction < 1:
+            clusters = [r[0] for r in df.select(cluster.alias("c")).distinct().collect()]
+        kept = keep_clusters(df, cluster, conf, clusters)
+        placed = block_sample(kept, cluster, order, conf) if isinstance(order, list) else keyed_sample(kept, cluster, order, conf)
+    hits, stats = gathered(placed, key, value)
+    if conf.variance is Variance.MEASURED:
+        if cluster is None:
+            raise ValueError("the measured variance needs a second pass: name a cluster")
+        stats = saved(cluster_stats(placed, value, conf.exact_s2), "stats")
+    received = stats.count()
+    return Sampled(hits, stats, received if clusters is None else len(clusters), received)
 
 
 def precise_sum(df: DataFrame, key: Column, value: Column) -> DataFrame:
@@ -128,18 +156,18 @@ def precise_sum(df: DataFrame, key: Column, value: Column) -> DataFrame:
     return df.select(key.cast("string").alias("key"), value.alias("v")).filter("key is not null").groupBy("key").agg(F.sum("v").cast("long").alias("value"))
 
 
-def approx_sum(df: DataFrame, key: Column, value: Column, cluster: Column, order: list[Column], conf: ApproxConf | None = None, clusters: list | None = None) -> DataFrame:
+def approx_sum(df: DataFrame, key: Column, value: Column, cluster: Column | None, order: Column | list[Column] | None = None, conf: ApproxConf | None = None, clusters: list | None = None) -> DataFrame:
     """(key, value, range): the sum of value by key from a sample of df; with conf.precise (key, value), exact.
 
-    key: null where a record is no hit, so that filters don't change the population. order: makes places in a cluster unique.
+    key: null where a record is no hit, so that filters don't change the population. cluster and order as in sample_hits.
     """
     conf = conf or ApproxConf()
     if conf.precise:
         return precise_sum(df, key, value)
-    return estimate(sample_hits(df, key, value, cluster, order, conf, clusters), df.sparkSession, conf)
+    return estimate(sample_hits(df, key, value, cluster, order, conf, clusters), conf)
 
 
-def approx_count(df: DataFrame, key: Column, cluster: Column, order: list[Column], conf: ApproxConf | None = None, clusters: list | None = None) -> DataFrame:
+def approx_count(df: DataFrame, key: Column, cluster: Column | None, order: Column | list[Column] | None = None, conf: ApproxConf | None = None, clusters: list | None = None) -> DataFrame:
     """The number of records by key."""
     return approx_sum(df, key, F.lit(1), cluster, order, conf, clusters)
 

@@ -6,9 +6,6 @@ the population of each is counted before anything is filtered.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +71,13 @@ def block_sample(df: DataFrame, cluster: Column, order: list[Column], conf: Appr
 
 
 def keyed_sample(df: DataFrame, cluster: Column, key: Column, conf: ApproxConf) -> DataFrame:
-    """The same for a dense integer key: a block is the keys k * ratio to (k + 1) * ratio - 1. No sort and no shuffle."""
+    """The same for a unique integer key: a block is the keys k * ratio to (k + 1) * ratio - 1. No sort and no shuffle.
+
+    Where keys are missing a block gives its sample with the probability that its drawn key is there, so that a record is
+    sampled with probability 1 / ratio all the same. max_per_cluster needs places, which only block_sample has.
+    """
+    if conf.max_per_cluster is not None:
+        raise ValueError("max_per_cluster needs an order of columns")
     placed = df.withColumn("cluster", cluster)
     if conf.precise or conf.ratio == 1:
         return placed.withColumn("sampled", F.lit(True))
@@ -82,43 +85,22 @@ def keyed_sample(df: DataFrame, cluster: Column, key: Column, conf: ApproxConf)
     return placed.withColumn("sampled", F.pmod(key, F.lit(conf.ratio)) == block_offset(conf, block))
 
 
-def scan_sample(df: DataFrame, conf: ApproxConf) -> tuple[DataFrame, DataFrame]:
-    """(sampled records, cluster statistics) with an input partition as a cluster: records are counted as they are read.
+def scan_sample(df: DataFrame, conf: ApproxConf) -> DataFrame:
+    """The same with an input partition as a cluster: records are counted as they are read. No sort and no shuffle.
 
-    No sort and no shuffle of records; the statistics have one row for each partition that has records.
+    A record's cluster and place are its partition and its place there, which hold for one execution: aggregate the result
+    once, as the estimator does, and don't join two of them. df: rows as they are read, maybe filtered or projected.
+    Records beyond max_per_cluster are not in the result.
     """
-    ratio, seed, fixed, most = conf.ratio, conf.seed, conf.offset, conf.max_per_cluster
-
-    def taken(part: int, pos: int) -> bool:
-        import hashlib
-
-        if ratio == 1:
-            return True
-        place = fixed % ratio if seed is None else int(hashlib.md5(f"{seed}:{part}:{pos // ratio}".encode()).hexdigest()[:8], 16) % ratio
-        return pos % ratio == place
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, pos = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            size = batch.num_rows if most is None else max(0, min(batch.num_rows, most - pos))
-            rows = [i for i in range(size) if taken(part, pos + i)]
-            pos += size
-            out = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([part] * len(rows), pa.int64())], [*out.schema.names, "cluster"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        n = sum(b.num_rows for b in batches)
-        n = n if most is None else min(n, most)
-        if n:
-            yield pa.record_batch([pa.array([x], pa.int64()) for x in (part, n, sum(taken(part, i) for i in range(n)))], ["cluster", "pop_m", "smp_m"])
-
-    schema = df.schema.simpleString()[len("struct<") : -1]
-    return df.mapInArrow(sample, f"{schema},cluster bigint"), df.select(F.lit(1).alias("one")).mapInArrow(count, "cluster long, pop_m long, smp_m long")
+    here = F.monotonically_increasing_id()
+    placed = df.withColumn("__here", here)
+    placed = placed.select("*", F.shiftright("__here", 33).alias("cluster"), F.col("__here").bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")).drop("__here")
+    if conf.max_per_cluster is not None:
+        placed = placed.filter(F.col("pos") < conf.max_per_cluster)
+    if conf.precise or conf.ratio == 1:
+        return placed.withColumn("sampled", F.lit(True))
+    block = F.floor(F.col("pos") / conf.ratio).cast("long")
+    return placed.withColumn("sampled", F.col("pos") % conf.ratio == block_offset(conf, block))
 
 
 def line_cap(df: DataFrame, cluster: Column, order: list[Column], most: int) -> DataFrame:

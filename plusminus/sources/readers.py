@@ -5,6 +5,8 @@ All are Spark's own text reader, so compressed files are read as they are. A fil
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,42 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def between(spark: SparkSession, path: str | list[str], start: str, end: str) -> DataFrame:
-    """(value, file): records from a start mark to the next end mark, marks included; what is between records is left out."""
+    """(value, file): records from a start mark to the next end mark, marks included; what is between records is left out.
+
+    A record that the end of a file breaks off is left out, and with it any record of that file with just the same text.
+    """
     if not start or not end:
         raise ValueError("a start and an end mark are needed")
     pieces = spark.read.option("lineSep", end).text(path).select("value", F.col("_metadata.file_path").alias("file"))
     at = F.instr("value", start)
     # The reader takes the end mark off; a piece without a start mark is what follows the last record.
-    return pieces.filter(F.col("value").contains(start)).select(F.concat(F.substr("value", at.cast("int")), F.lit(end)).alias("value"), "file")
+    records = pieces.filter(F.col("value").contains(start))
+    for file, rest in _broken_off(spark, pieces.inputFiles(), start.encode(), end.encode()):
+        records = records.filter(~((F.col("file") == file) & (F.col("value").cast("binary") == F.lit(rest))))
+    return records.select(F.concat(F.substr("value", at.cast("int")), F.lit(end)).alias("value"), "file")
+
+
+def _broken_off(spark: SparkSession, files: list[str], start: bytes, end: bytes, step: int = 1 << 16) -> Iterator[tuple[str, bytes]]:
+    """Files that end inside a record, and what they hold after their last end mark: only ends of files are read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    for file in files:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        if codecs.getCodec(path) is not None:  # a compressed file that breaks off can't be read at all
+            continue
+        fs = path.getFileSystem(conf)
+        size, tail, back = fs.getFileStatus(path).getLen(), b"", 0
+        while end not in tail and back < size:
+            back = min(size, max(step, 2 * back))
+            stream = fs.open(path)
+            try:
+                stream.seek(size - back)
+                tail = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, back))
+            finally:
+                stream.close()
+        rest = tail.rpartition(end)[2]
+        if start in rest:
+            yield path.toUri().toString(), rest  # as _metadata.file_path has it
 
 
 def access_log(df: DataFrame, line: Column | str = "value") -> DataFrame:

@@ -120,11 +120,33 @@ def test_block_sample_takes_one_of_each_block(spark):
 
 
 def test_scan_sample_counts_what_it_reads(spark):
-    df = spark.range(0, 1000, 1, 5)
-    rows, stats = sampling.scan_sample(df, ApproxConf(ratio=7))
-    by = {r.cluster: r for r in stats.collect()}
-    assert sum(r.pop_m for r in by.values()) == 1000
-    assert {r.cluster: r["count"] for r in rows.groupBy("cluster").count().collect()} == {c: r.smp_m for c, r in by.items()}
+    rows = sampling.scan_sample(spark.range(0, 1000, 1, 5), ApproxConf(ratio=7)).groupBy("cluster").agg(F.count("*").alias("n"), F.count_if("sampled").alias("m"), F.max("pos").alias("last")).collect()
+    assert len(rows) == 5 and all(r.n == 200 and r.last == 199 and r.m in (28, 29) for r in rows)
+    df = frame(spark, 5000).repartition(8)
+    found = {r.key: r for r in approx_count(df, F.col("k"), None, conf=ApproxConf(ratio=5, null_key=True)).collect()}
+    truth = {r.k: r["count"] for r in df.groupBy("k").count().collect()}
+    assert set(found) == {*truth, NULL_KEY} and all(abs(found[k].value - n) < 4 * found[k].range for k, n in truth.items())
+    with pytest.raises(ValueError):
+        approx_count(df, F.col("k"), None, conf=ApproxConf(keep_fraction=0.5))
+
+
+@pytest.mark.parametrize("sample", [lambda df, c: sampling.keyed_sample(df, F.col("c"), F.col("id"), c), sampling.scan_sample], ids=["keyed", "scan"])
+def test_sampling_as_records_are_read_neither_sorts_nor_shuffles(spark, sample):
+    plan = sample(frame(spark), ApproxConf(ratio=5))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan and "Python" not in plan
+
+
+def test_a_sample_with_missing_keys_has_no_bias(spark):
+    df = frame(spark, 6000, 4).filter("id % 3 != 1 and id % 7 != 2")
+    truth = {r.k: r["count"] for r in df.groupBy("k").count().collect()}
+    found = [{r.key: r.value for r in approx_count(df, F.col("k"), F.col("c"), F.col("id"), ApproxConf(ratio=5, seed=s)).collect()} for s in range(6)]
+    assert all(abs(sum(f[k] for f in found) / 6 - n) < 0.08 * n for k, n in truth.items())
+
+
+def test_arrays_of_keys_count_a_record_once(spark):
+    df = spark.createDataFrame([(i, i % 4, ["a", "b"] if i % 2 else [] if i % 3 else None) for i in range(400)], "id long, c int, k array<string>")
+    found = approx_sum(df, F.col("k"), F.lit(1), F.col("c"), F.col("id"), ApproxConf()).collect()
+    assert sorted((r.key, r.value, r.range) for r in found) == [("a", 200, 0), ("b", 200, 0)]
 
 
 def test_quantiles_and_numbers():

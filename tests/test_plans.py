@@ -1,6 +1,8 @@
 """Planner, waves, pilot, minimum, streaming and sources."""
 
+import gzip
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +80,52 @@ def test_stream_of_files_equals_the_batch(spark, tmp_path):
     assert sorted(found.result.collect()) == sorted(batch.collect()) and len(found.waves) == 3
 
 
+def test_no_hit_is_no_reason_to_stop(spark):
+    df = events(spark).withColumn("rare", F.when((F.col("c") == 29) & (F.col("id") % 2 == 1), "x"))
+    query = Query(df, F.col("rare"), F.lit(1), F.col("c"), F.col("id"))
+    found = run_waves(query, ApproxConf(adaptive_dropping=True, target_error=0.5, seed=None), per_wave=3)
+    assert len(found.waves) == 10 and found.waves[0].error == float("inf") and [r.value for r in found.result.collect()] == [100]
+
+
+def test_a_hard_drop_cancels_the_running_wave(spark):
+    slow = F.udf(lambda x: time.sleep(0.05) or x, "string")
+    df = events(spark, 2000, 10).withColumn("k", F.when(F.col("c") >= 4, slow("k")).otherwise(F.col("k")))
+    query, began, first = Query(df, F.col("k"), F.lit(1), F.col("c"), F.col("id")), time.monotonic(), []
+
+    def drop():
+        return bool(first) and time.monotonic() - first[0] > 1.0
+
+    conf = ApproxConf(hard_drop=True, seed=None)
+    found = run_waves(query, conf, per_wave=4, clusters=list(range(10)), watch=lambda w: first.append(time.monotonic()), drop=drop)
+    assert [w.status for w in found.waves] == ["dropped"] and found.waves[0].clusters_done == 4 and found.sampled.total == 10
+    assert time.monotonic() - began < 60 and all(r.range > 0 for r in found.result.collect())
+    again = run_waves(Query(events(spark, 200, 10), F.col("k"), F.lit(1), F.col("c"), F.col("id")), conf, per_wave=5, drop=lambda: False)
+    assert [w.clusters_done for w in again.waves] == [5, 10]
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    df = events(spark, 600, 6)
+    read = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    run = lambda: stream_aggregate(read(), F.col("k"), F.lit(1), F.col("c"), F.col("id"), 6, ApproxConf(ratio=3), f"{tmp_path}/state")
+    for part in (range(3), range(3, 6)):
+        for c in part:
+            df.filter(F.col("c") == c).coalesce(1).write.parquet(f"{tmp_path}/in/f{c}")
+        found = run()
+        assert len(found.waves) == 3  # those of this run alone; the state has all
+    batch = approx_count(df, F.col("k"), F.col("c"), F.col("id"), ApproxConf(ratio=3))
+    assert sorted(found.result.collect()) == sorted(batch.collect())
+
+
+def test_a_record_that_the_end_of_a_file_breaks_off_is_left_out(spark, tmp_path):
+    texts = {"a": "<page>a</page><page>b", "b b": "<page>c</page>", "c": "x</page><page>é\n</page>\n</mediawiki>", "d": "<page>none", "e": "", "f": "no mark", "g": "<page>" + "y" * 200_000}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.xml").write_text(text)
+    with gzip.open(tmp_path / "z.xml.gz", "wt") as out:
+        out.write("<page>z</page>\n")
+    found = readers.between(spark, str(tmp_path), "<page>", "</page>").collect()
+    assert sorted(r.value for r in found) == ["<page>a</page>", "<page>c</page>", "<page>z</page>", "<page>é\n</page>"]
+
+
 def test_minimum(spark):
     values = [10, 12, 11, 9.5, 13, 10.5]
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
