@@ -27,7 +27,7 @@ from plusminus.llm.common import saved
 SHINGLE, WORDS64, RADIUS, SIMILAR = 5, 4, 72, (4, 5)
 MASK = "[secret]"
 #: Python workers outlive a stage: packing remembers words, a few MB of them, for the length of a task alone.
-KEPT_WORDS = 16 << 20
+KEPT_WORDS = 4 << 20
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

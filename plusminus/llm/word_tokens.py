@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from plusminus.llm.common import pieces
+from plusminus.llm.common import PIECE, pieces
 
 END_ID = 1
 #: Bytes of chunks, and of pre-tokens, with their ids that a Python worker keeps, in two generations each: four times this in all.
@@ -30,7 +30,7 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p
 #: Chunks that hold a character beyond these go to the library whole, and so do those with the mark of a special token.
 PLAIN = regex.compile(r"[!-~¡-ɏ\n]*")
 SPECIAL = "<|"
-#: Bytes of text of one step; texts of more are cut.
+#: Bytes of text of one step, or fewer where little is to be kept; texts of more are cut.
 SLICE = 2 << 20
 #: Stands between chunks in a run of ids; no vocabulary has this id.
 BETWEEN = b"\xff\xff\xff\xff"
@@ -78,7 +78,7 @@ class WordEncoder:
         self.size = max(vocabulary.values()) + 1
         self.last = np.zeros(self.size, bool)
         self.last[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
-        self.chunks, self.tokens = Recent(kept), Recent(kept)
+        self.chunks, self.tokens, self.slice = Recent(kept), Recent(kept), min(SLICE, max(1, kept // 4))
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_column(pa.array([text], pa.string()))[0]
@@ -90,12 +90,12 @@ class WordEncoder:
         out: list[bytes] = []
         start = 0
         while start < len(texts):
-            if sizes[start] > SLICE:
-                cut = pieces(texts[start].as_py().encode())
+            if sizes[start] > self.slice:
+                cut = pieces(texts[start].as_py().encode(), min(PIECE, self.slice))
                 out.append(b"".join(self._encode(pa.array([p], pa.binary()).cast(pa.string()))[0] for p in cut))
                 start += 1
                 continue
-            end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), SLICE, "right")))
+            end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), self.slice, "right")))
             out += self._encode(texts.slice(start, end - start))
             start = end
         return out
