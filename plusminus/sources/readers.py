@@ -55,7 +55,7 @@ def _broken_off(spark: SparkSession, files: list[str], start: bytes, end: bytes,
                 stream.close()
         rest = tail.rpartition(end)[2]
         if start in rest:
-            yield path.toUri().toString(), rest  # as _metadata.file_path has it
+            yield jvm.org.apache.hadoop.fs.Path(path.toString()).toUri().toString(), rest  # as _metadata.file_path has it
 
 
 def access_log(df: DataFrame, line: Column | str = "value") -> DataFrame:
