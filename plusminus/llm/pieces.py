@@ -191,39 +191,43 @@ class Vocabulary:
         raw = [self.bytes.get(b) for b in piece.encode("utf-8", "surrogatepass")]
         return [self.unknown] if None in raw else raw
 
+    @functools.cached_property
+    def names(self) -> list[str]:
+        """What each id but a byte's stands for."""
+        return [self.pieces.get(i, " ⁇ " if i == self.unknown else "") for i in range(self.library.vocab_size())]
+
     def decode(self, ids: list[int]) -> str:
         """Pieces side by side, runs of bytes as UTF-8 (what is none as U+FFFD), blanks for marks, without the first blank."""
-        if self.byte_of.keys().isdisjoint(ids) and self.pieces.keys() >= set(ids):
-            return self._spaced("".join(map(self.pieces.__getitem__, ids)))
-        out: list[str] = []
-        raw = bytearray()
-
-        def flush() -> None:
-            at = 0
-            while at < len(raw):  # one mark for each byte that starts no character
-                for size in (4, 3, 2, 1):
-                    try:
-                        out.append(bytes(raw[at : at + size]).decode())
-                        if len(out[-1]) != 1:
-                            out.pop()
-                            continue
-                        at += size
-                        break
-                    except UnicodeDecodeError:
+        if self.byte_of.keys().isdisjoint(ids):
+            return self._spaced("".join(map(self.names.__getitem__, ids)))
+        is_byte = np.zeros(len(self.names) + 1, bool)
+        is_byte[list(self.byte_of)] = True
+        bounds = [0, *(np.flatnonzero(np.diff(is_byte[ids])) + 1).tolist(), len(ids)]
+        runs = (ids[i:j] for i, j in zip(bounds, bounds[1:], strict=False))
+        return self._spaced("".join(self._text(run) if run[0] in self.byte_of else "".join(map(self.names.__getitem__, run)) for run in runs))
+
+    def _text(self, ids: list[int]) -> str:
+        """The text of a run of byte ids."""
+        raw, out, at = bytes(map(self.byte_of.__getitem__, ids)), [], 0
+        try:
+            return raw.decode()
+        except UnicodeDecodeError:
+            pass
+        while at < len(raw):  # one mark for each byte that starts no character
+            for size in (4, 3, 2, 1):
+                try:
+                    out.append(raw[at : at + size].decode())
+                    if len(out[-1]) != 1:
+                        out.pop()
                         continue
-                else:
-                    out.append("�")
-                    at += 1
-            raw.clear()
-
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
+                    at += size
+                    break
+                except UnicodeDecodeError:
+                    continue
             else:
-                flush()
-                out.append(self.pieces.get(i, " ⁇ " if i == self.unknown else ""))
-        flush()
-        return self._spaced("".join(out))
+                out.append("�")
+                at += 1
+        return "".join(out)
 
     def _spaced(self, text: str) -> str:
         text = text.replace(SPACE, " ")
