@@ -20,7 +20,7 @@ from plusminus.llm.common import PIECE, pieces
 
 END_ID = 1
 #: Bytes of chunks, and of pre-tokens, with their ids that a Python worker keeps, in two generations each: four times this in all.
-KEPT = 32 << 20
+KEPT = 72 << 20
 #: What an entry takes besides its own bytes, about.
 ENTRY = 180
 #: Pre-tokens of one call of the library.
@@ -31,7 +31,7 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p
 PLAIN = regex.compile(r"[!-~¡-ɏ\n]*")
 SPECIAL = "<|"
 #: Bytes of text of one step, or fewer where little is to be kept; texts of more are cut.
-SLICE = 2 << 20
+SLICE = 8 << 20
 #: Stands between chunks in a run of ids; no vocabulary has this id.
 BETWEEN = b"\xff\xff\xff\xff"
 
