@@ -144,9 +144,12 @@ def battery(runs: DataFrame) -> DataFrame:
     above = F.size(F.filter("x", lambda v: v > mid)).cast("double")
     even = 2 * above * (n - above) / n
     spread = F.sqrt(F.greatest(even * (2 * above * (n - above) - n) / (n * (n - 1)), F.lit(1e-9)))
-    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / n
+    total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
+    mean = total / n
     power = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v) / n - mean * mean
-    lagged = F.aggregate(F.sequence(F.lit(1), F.size("x") - 1), F.lit(0.0), lambda s, i: s + (F.get("x", i) - mean) * (F.get("x", i - 1) - mean))
+    # The sum of (x[i] - mean) * (x[i - 1] - mean), multiplied out: the mean in a function of elements is computed for each.
+    products = F.aggregate(F.sequence(F.lit(1), F.size("x") - 1), F.lit(0.0), lambda s, i: s + F.get("x", i) * F.get("x", i - 1))
+    lagged = products - mean * (2 * total - F.get("x", F.lit(0)) - F.element_at("x", -1)) + (n - 1) * mean * mean
     serial = F.when(power > 1e-9, lagged / (n * power)).otherwise(1.0)
     out = runs.select("*", chi_z.alias("chi_z"), ((turns - even - 1) / spread).alias("runs_z"), ((serial * F.sqrt(n)) + 1 / F.sqrt(n)).alias("serial_z"))
     length = F.lit(CLASSES[0])
