@@ -132,7 +132,7 @@ def battery(runs: DataFrame) -> DataFrame:
     # Padding is no symbol; an upper-case hex run is read in lower case.
     bare = F.regexp_replace("body", "=+$", "")
     runs = runs.withColumn("symbols", F.split(F.when(F.col("encoding") == "hex", F.lower(bare)).otherwise(bare), ""))
-    runs = runs.withColumn("x", F.transform("symbols", lambda c: F.instr(F.col("alphabet"), c).cast("double")))
+    runs = runs.withColumn("x", _once(F.col("alphabet"), lambda a: F.transform("symbols", lambda c: F.instr(a, c).cast("double"))))
     runs = runs.withColumn("n", F.size("x").cast("double")).filter("n >= 8")
     count = lambda c: F.size(F.filter("symbols", lambda s: s == c)).cast("double")
     squares = F.aggregate(F.array_distinct("symbols"), F.lit(0.0), lambda s, c: s + count(c) * count(c))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,6 +152,13 @@ def test_op6_tests_and_rule_by_hand(spark, tmp_path):
     assert {r.doc_id: f for r in rows if (f := [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")])} == want
 
 
+def test_op6_work_grows_with_the_length_of_a_run(spark, tmp_path):
+    spark.createDataFrame([(1, "x" * 300_000)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    begun = time.time()
+    assert [r.spans for r in secrets.find_secrets(spark.read.parquet(str(tmp_path / "d"))).collect()] == [""]
+    assert time.time() - begun < 60  # ten minutes and more if every symbol costs a pass over the run
+
+
 # --- substring dedup --------------------------------------------------------------------------------------------
 
 
