@@ -1,4 +1,4 @@
-"""Registered queries without SQL, over the whole table documents, against plain implementations."""
+"""Registered queries without SQL, over the whole table documents, against plain implementations; the pipeline on odd tables."""
 
 import hashlib
 import math
@@ -187,3 +187,32 @@ def test_op9_finds_the_repeats_of_the_table(spark, data, texts):
         assert len(spans) == r.n_spans and spans == sorted(spans)
         assert r.repeated_words == sum(len(texts[d][a:b].split()) for a, b in spans)
         assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:])) and all(b <= len(texts[d]) for _, b in spans)
+
+
+# --- the pipeline -----------------------------------------------------------------------------------------------
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, base string, spans string, bucket string"
+
+
+def test_pipeline_on_odd_rows_and_an_empty_table(spark, data, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    known = spark.read.parquet(f"{data}/documents.parquet").filter("text is not null and lang is not null").orderBy("doc_id").collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "r", None, "s", "b") for r in known]
+    prose = max((r.text for r in known), key=len)
+    odd = [(None, prose + " at the end", None), (10**6, None, "en"), (10**6 + 1, "", "en"), (10**6 + 2, " \n ", None), (10**6 + 3, "x" * 300_000, None), (10**6 + 4, (prose + "\n") * 20, None), (rows[0][0], rows[0][1], rows[0][2])]
+    rows += [(i, t, g, None, None, "r", "b", "s", None) for i, t, g in odd]
+    for name, some in (("odd", rows), ("empty", [])):
+        spark.createDataFrame(some, ODD).repartition(3).write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        seen = docs
+        for stage, step in pipeline.STAGES[:-1]:
+            seen = pipeline.saved(step(spark, seen, str(tmp_path / name)), f"odd-{stage}")
+            assert seen.columns == docs.columns
+        packed = pipeline.run(spark, str(tmp_path / name)).collect()
+        left = [r.doc_id for r in seen.collect()]
+        assert {r.doc_id for r in packed} == set(left)
+        if not some:
+            assert not packed
+            continue
+        assert 10**6 not in left and 10**6 + 1 not in left and 10**6 + 2 not in left  # no letter, no language
+        assert left.count(rows[0][0]) <= 1 and len(left) > 0.7 * len(known)
