@@ -91,9 +91,29 @@ def short_number(x: float) -> str:
     return f"{x / 1_000:.1f}K" if x > 1_000 else f"{int(x)}"
 
 
+def one_decimal(x: Column) -> Column:
+    """x, not negative, with one decimal as C prints it: the double's exact value decides, and a tie goes to the even digit.
+
+    Java rounds the shortest decimal that names the double, and ties up. From 2^63 on digits are Java's.
+    """
+    whole = F.floor(x)
+    part = x - whole.cast("double")
+    # 20 * part is near + error exactly: the sum of two exact products and what its rounding lost.
+    large, small = part * 16, part * 4
+    near = large + small
+    back = near - large
+    error = (large - (near - back)) + (small - back)
+    down = F.floor(near / 2)
+    over = (near - (2 * down + 1)) + error
+    digit = down + F.when((over > 0) | (over == 0) & (down % 2 == 1), 1).otherwise(0)
+    exact = F.concat((whole + F.when(digit == 10, 1).otherwise(0)).cast("string"), F.lit("."), (digit % 10).cast("string"))
+    return F.when(F.isnan(x), "nan").when(x == math.inf, "inf").when(x < 2.0**63, exact).otherwise(F.format_string("%.1f", x))
+
+
 def short_number_column(x: Column) -> Column:
+    """short_number of a column; null for null."""
     x = x.cast("double")
-    return F.when(x > 1_000_000, F.format_string("%.1fM", x / 1_000_000)).when(x > 1_000, F.format_string("%.1fK", x / 1_000)).otherwise(F.format_string("%d", x.cast("long")))
+    return F.when(x > 1_000_000, F.concat(one_decimal(x / 1_000_000), F.lit("M"))).when(x > 1_000, F.concat(one_decimal(x / 1_000), F.lit("K"))).otherwise(x.cast("long").cast("string"))
 
 
 def bucket(x: Column, width: int = 100) -> Column:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plusminus.conf import ApproxConf, Variance
-from plusminus.functions.stats import LONG_MAX, sample_variance, short_number, t_quantile, z_value
+from plusminus.functions.stats import LONG_MAX, sample_variance, short_number, short_number_column, t_quantile, z_value
 from plusminus.operators import sampling
 from plusminus.operators.estimator import NULL_KEY, approx_count, approx_sum, half_width
 from plusminus.operators.render import as_lines, relative_error
@@ -156,6 +156,16 @@ def test_quantiles_and_numbers():
     assert half_width(10, (5, 25, 0), 10, 1) == math.inf
 
 
+def test_short_number_column_rounds_as_c_does(spark):
+    rng = random.Random(7)
+    values = [1250.0, 1350.0, 1450.0, 1750.0, 2250.0, 1_250_000.0, 1_450_000.0, 999_950.0, 1_999_950_000.0, 1000.0, 0.0, 1e15, 1e24, float("inf")]
+    values += [float(rng.randrange(10 ** rng.randrange(3, 10))) for _ in range(500)] + [50.0 * k for k in range(20, 600)] + [rng.uniform(1e3, 1e8) for _ in range(200)]
+    values += [50_000.0 * k for k in range(20, 600)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    rows = df.select("v", short_number_column(F.col("v")).alias("text")).collect()
+    assert [(r.v, r.text) for r in rows if r.text != (None if r.v is None else short_number(r.v))] == []
+
+
 def test_rendering(spark):
     df = spark.createDataFrame([("a", 10, 5), ("b", 0, 3)], "key string, value long, range long")
     assert [r.value for r in as_lines(df).collect()] == ["a\t10+/-5", "b\t0+/-3"]
