@@ -21,7 +21,8 @@ def confidence_of(error: float, spread: float, n: int) -> float:
     """The confidence that the minimum lies no more than error percent below the least of n values."""
     if spread <= 0:
         return 1.0 if error > 0 else 0.0
-    return 1 - 1 / (1 + error * error / (FACTOR * spread**3)) ** n
+    # By logarithms: the power itself is beyond a double for many values.
+    return -math.expm1(-n * math.log1p(error * error / (FACTOR * (spread * spread * spread))))
 
 
 def error_bound(n: int, spread: float, confidence: float = 0.95) -> float:

@@ -138,6 +138,14 @@ def test_minimum(spark):
     assert confidence_of(50, 2.0, 5) < confidence_of(60, 2.0, 5) and corrected_spread(1, 0, 0, 0.95) != corrected_spread(1, 0, 0, 0.95)
 
 
+def test_the_bound_of_many_values():
+    assert [round(confidence_of(e, 2.0, 10), 12) for e in (1.0, 30.0)] == [round(1 - 1 / (1 + e * e / (120 * 8)) ** 10, 12) for e in (1.0, 30.0)]
+    for n in (10**4, 10**6, 10**9):
+        error = error_bound(n, 2.0)
+        assert confidence_of(error, 2.0, n) > 0.95 and 0 < error < 100
+    assert error_bound(10, 1e110) == 100
+
+
 def test_log_lines(spark):
     rows = [
         'h - - [24/Nov/2013:06:25:45 -0500] "GET /a?x=1 HTTP/1.1" 200 123 "ref" "agent"',
