@@ -63,14 +63,20 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
+def saved(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """df, written to the shared folder and read again: lineage is cut and a lost executor costs no recomputation."""
-    path = shared_path(df.sparkSession, what)
+    path = path or shared_path(df.sparkSession, what)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes what saved() wrote to a path that nothing reads any more."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few rows of the driver, sent by Arrow: from a list, Spark would start Python workers on the executors to read them."""
     kind = StructType.fromDDL(schema)

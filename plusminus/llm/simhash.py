@@ -8,10 +8,12 @@
    n - 1 rows and not n * n / 2, and no link between different fingerprints is lost to its component.
 5. Components by star contraction; a component's id is its smallest doc_id.
 
-The pipeline's stage (one_of_each) has sets of shingles as nodes, uses these links as candidates and joins only those
-whose sets are similar enough, compared in full.
-
 The comparison is exact, and so it grows with the square of the number of distinct fingerprints.
+
+The pipeline's stage (one_of_each) has sets of shingles as nodes, uses links of fingerprints as candidates and joins only
+those whose sets are similar enough, compared in full. It compares fingerprints within blocks alone: a set's keys are the
+least of its hashes, as many as its elements that a similar set may lack and one more, so that any two sets that are similar
+enough have a key in common, and a block is the sets that have a key. No pair is lost to the blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plusminus.llm.common import columns_of, few_rows, fresh, released, saved, slices, table, text_of, word_lists
+from plusminus.llm.common import columns_of, few_rows, fresh, released, removed, saved, shared_path, slices, table, text_of, word_lists
 from plusminus.llm.components import components
 from plusminus.llm.lookup import Found, looked_up, numbered, ranges, read_range, written
 
@@ -36,6 +38,10 @@ BLOCK_A, BLOCK_B = 512, 2048
 SIMILAR, SET_TILE = (4, 5), 1 << 20
 #: Hashes that vote, or are looked for, at once.
 VOTES = 1 << 18
+#: Keys of one task that makes blocks, and rows of one that compares them, about (32 and 14 MB); blocks of up to SMALL rows are compared together.
+TASK_KEYS, TASK_ROWS, SMALL = 1 << 21, 1 << 18, 32
+#: Rows that are compared with all others before the rest is, so that a block of near copies takes no time in its square.
+LEADERS = 3
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -90,23 +96,50 @@ def signature(text: str | None, shingle: int = SHINGLE, words64: int = 1, seed:
 
     Each distinct shingle votes once, as the similarity of sets counts it.
     """
-    found = distinct(list(shingles(text, shingle, seed)))
+    return _signed(distinct(list(shingles(text, shingle, seed))), words64)
+
+
+def _signed(found: np.ndarray, words64: int) -> list[int]:
     return [*voted([found], words64), xxhash.xxh3_64_intdigest(found.tobytes()), len(found)]
 
 
-def fingerprints(texts: DataFrame, shingle: int = SHINGLE, words64: int = 1, seed: int = SEED, of: Callable[..., list[int]] = fingerprint) -> DataFrame:
-    """The columns of texts, longs but for text, and in place of text fp, the 64-bit words that `of` gives, as signed longs."""
+def block_keys(found: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+    """The least of the sorted hashes of a set; sets of a Jaccard similarity of `similar` or more have one of them in common.
+
+    Both share at least `similar` of the larger one's elements. If the least key of one that the other lacks came before all
+    shared ones, more elements than that leaves would be missing.
+    """
+    return found[: len(found) - -(-len(found) * similar[0] // similar[1]) + 1] if len(found) else found
+
+
+def fingerprints(texts: DataFrame, shingle: int = SHINGLE, words64: int = 1, seed: int = SEED) -> DataFrame:
+    """The columns of texts, longs but for text, and in place of text fp, the fingerprint's 64-bit words, as signed longs."""
     others = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = np.array([of(x, shingle, words64, seed) for x in batch.column("text").to_pylist()], np.uint64).astype(np.int64)
+            found = np.array([fingerprint(x, shingle, words64, seed) for x in batch.column("text").to_pylist()], np.uint64).astype(np.int64)
             prints = pa.array(list(found.reshape(batch.num_rows, -1)), pa.list_(pa.int64()))
             yield pa.record_batch([*(batch.column(c) for c in others), prints], [*others, "fp"])
 
     return texts.mapInArrow(released(run), ", ".join(f"{c} long" for c in others) + ", fp array<long>")
 
 
+def signatures(texts: DataFrame, shingle: int, words64: int, seed: int, similar: tuple[int, int]) -> DataFrame:
+    """fingerprints() of signatures, and the keys of their sets, as signed longs."""
+    others = [c for c in texts.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [distinct(list(shingles(x, shingle, seed))) for x in batch.column("text").to_pylist()]
+            found = np.array([_signed(x, words64) for x in sets], np.uint64).astype(np.int64)
+            prints = pa.array(list(found.reshape(batch.num_rows, -1)), pa.list_(pa.int64()))
+            keys = pa.array([block_keys(x, similar).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([*(batch.column(c) for c in others), prints, keys], [*others, "fp", "keys"])
+
+    return texts.mapInArrow(released(run), ", ".join(f"{c} long" for c in others) + ", fp array<long>, keys array<long>")
+
+
 class Forest:
     """Union-find over places 0 to n - 1, merging whole arrays of links at once."""
 
@@ -128,11 +161,46 @@ class Forest:
                 np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _ordered(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of fp by population count, and the counts of the whole, upper and lower half of each word set."""
+    def links(self) -> list[tuple[int, int]]:
+        every = np.arange(len(self.parent))
+        roots = self.roots(every)
+        child = np.flatnonzero(roots != every)
+        return list(zip(child.tolist(), roots[child].tolist(), strict=True))
+
+
+def _ordered(fp: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those places of fp in order of population count, and the counts of the whole, upper and lower half of each word set."""
+    fp = fp[places]
     upper, lower = fp >> np.uint64(32), fp & np.uint64(0xFFFFFFFF)
     counts = np.stack([np.bitwise_count(x).sum(1, dtype=np.int32) for x in (fp, upper, lower)])
-    return np.lexsort((counts[1], counts[0])), counts
+    order = np.lexsort((counts[1], counts[0]))
+    return places[order], counts[:, order]
+
+
+def _apart(x: np.ndarray, y: np.ndarray, radius: int) -> bool:
+    """Whether the counts alone tell that no row of x and y is within the radius."""
+    whole, upper, lower = np.maximum(0, np.maximum(x.min(1) - y.max(1), y.min(1) - x.max(1)))
+    return whole > radius or upper + lower > radius
+
+
+def _fit(x: np.ndarray, y: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+    """Whether sets of these sizes can have that similarity."""
+    return np.minimum(x, y) * similar[1] >= np.maximum(x, y) * similar[0]
+
+
+def _joined_by_leaders(forest: Forest, fp: np.ndarray, sizes: np.ndarray, radius: int, similar: tuple[int, int]) -> np.ndarray:
+    """Joins LEADERS rows with all that they link to; gives whether a place is in the largest component then."""
+    order, main = np.argsort(sizes, kind="stable"), np.zeros(len(fp), bool)
+    for _ in range(LEADERS):
+        rest = order[~main[order]]
+        if not len(rest):
+            break
+        one = rest[len(rest) // 2]
+        near = np.flatnonzero((np.bitwise_count(fp ^ fp[one]).sum(1, dtype=np.int32) <= radius) & _fit(sizes, sizes[one], similar))
+        forest.join(np.full(len(near), one), near)
+        roots = forest.roots(np.arange(len(fp)))
+        main = roots == np.bincount(roots).argmax()
+    return main
 
 
 class Sets:
@@ -168,47 +236,49 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, similar: t
     Places of b follow those of a; with same, b is a. With similar, rows are signatures, and a pair also needs sizes of
     sets that allow this Jaccard similarity; with sets, of all places, it needs the similarity itself.
     """
-    sizes = None
+    sizes, both = None, a if same else np.concatenate([a, b])
     if similar:
-        sizes = (a if same else np.concatenate([a, b]))[:, -1].astype(np.int64)
-        a, b = a[:, :-2], b[:, :-2]
-    forest, dense = Forest(len(a) if same else len(a) + len(b)), -(-a.shape[1] // 2)
-    if radius > 24 * dense:  # most pairs are within the radius in half of the words
-        dense = a.shape[1]
-    oa, ca = _ordered(a)
-    ob, cb = (oa, ca) if same else _ordered(b)
-    sa, sb, ca, cb = np.asfortranarray(a[oa]), np.asfortranarray(b[ob]), ca[:, oa], cb[:, ob]
-    gap = lambda x, y: np.maximum(0, np.maximum(x.min(1) - y.max(1), y.min(1) - x.max(1)))
-    for i in range(0, len(sa), BLOCK_A):
-        for j in range(0, len(sb), BLOCK_B):
-            if same and j + BLOCK_B <= i:
-                continue
-            whole, upper, lower = gap(ca[:, i : i + BLOCK_A], cb[:, j : j + BLOCK_B])
-            if whole > radius or upper + lower > radius:
-                continue
-            # Half of the words are compared for all pairs; those that are within the radius there, few of them, in full.
-            d = np.bitwise_count(sa[i : i + BLOCK_A, None, 0] ^ sb[None, j : j + BLOCK_B, 0])
-            d = d if dense < 4 else d.astype(np.uint16)  # four words or more can differ by over 255 bits
-            for k in range(1, dense):
-                d = d + np.bitwise_count(sa[i : i + BLOCK_A, None, k] ^ sb[None, j : j + BLOCK_B, k])
-            x, y = np.nonzero(d <= radius)
-            if dense < sa.shape[1] and len(x):
-                total = d[x, y].astype(np.int32)
-                for k in range(dense, sa.shape[1]):
-                    total += np.bitwise_count(sa[i + x, k] ^ sb[j + y, k])
-                x, y = x[total <= radius], y[total <= radius]
-            u, v = oa[i + x], ob[j + y] + (0 if same else len(a))
-            if similar and len(u):
-                fits = (u != v) & (np.minimum(sizes[u], sizes[v]) * similar[1] >= np.maximum(sizes[u], sizes[v]) * similar[0])
-                u, v = u[fits], v[fits]
-            if len(u) and sets:
-                _join_similar(forest, u, v, similar, sets)
-            elif len(u):
-                forest.join(u, v)
-    every = np.arange(len(forest.parent))
-    roots = forest.roots(every)
-    child = np.flatnonzero(roots != every)
-    return list(zip(child.tolist(), roots[child].tolist(), strict=True))
+        sizes, both = both[:, -1].astype(np.int64), both[:, :-2]
+    forest, words = Forest(len(both)), both.shape[1]
+    dense = words if radius > 24 * -(-words // 2) else -(-words // 2)  # most pairs are within a large radius in half of the words
+    left, right = np.arange(len(a)), np.arange(len(b)) + (0 if same else len(a))
+    parts = [(left, right, same)]
+    if similar and not sets:
+        main = _joined_by_leaders(forest, both, sizes, radius, similar)
+        parts = [(left[~main[left]], right, False), *([] if same else [(left[main[left]], right[~main[right]], False)])] if 2 * main.sum() > len(main) else parts
+    for ia, ib, one in parts:
+        oa, ca = (ia[np.argsort(sizes[ia], kind="stable")], None) if similar else _ordered(both, ia)
+        ob, cb = (oa, ca) if one else (ib[np.argsort(sizes[ib], kind="stable")], None) if similar else _ordered(both, ib)
+        sa, sb = np.asfortranarray(both[oa]), np.asfortranarray(both[ob])
+        for i in range(0, len(sa), BLOCK_A):
+            first, end = 0, len(sb)
+            if similar:  # both are in order of size
+                first = int(np.searchsorted(sizes[ob], -(-int(sizes[oa[i]]) * similar[0] // similar[1])))
+                end = int(np.searchsorted(sizes[ob], int(sizes[oa[min(i + BLOCK_A, len(oa)) - 1]]) * similar[1] // similar[0], "right"))
+            for j in range(max(first, i) if one else first, end, BLOCK_B):
+                stop = min(j + BLOCK_B, end)
+                if not similar and _apart(ca[:, i : i + BLOCK_A], cb[:, j:stop], radius):
+                    continue
+                # Half of the words are compared for all pairs; those that are within the radius there, few of them, in full.
+                d = np.bitwise_count(sa[i : i + BLOCK_A, None, 0] ^ sb[None, j:stop, 0])
+                d = d if dense < 4 else d.astype(np.uint16)  # four words or more can differ by over 255 bits
+                for k in range(1, dense):
+                    d = d + np.bitwise_count(sa[i : i + BLOCK_A, None, k] ^ sb[None, j:stop, k])
+                x, y = np.nonzero(d <= radius)
+                if dense < words and len(x):
+                    total = d[x, y].astype(np.int32)
+                    for k in range(dense, words):
+                        total += np.bitwise_count(sa[i + x, k] ^ sb[j + y, k])
+                    x, y = x[total <= radius], y[total <= radius]
+                u, v = oa[i + x], ob[j + y]
+                if similar and len(u):
+                    fits = (u != v) & _fit(sizes[u], sizes[v], similar)
+                    u, v = u[fits], v[fits]
+                if len(u) and sets:
+                    _join_similar(forest, u, v, similar, sets)
+                elif len(u):
+                    forest.join(u, v)
+    return forest.links()
 
 
 def _compare(files: list[tuple[str, int, int]], radius: int, width: int, similar: tuple[int, int] | None, with_sets: bool):
@@ -274,11 +344,8 @@ def _compared(placed: DataFrame, spans: list[tuple[int, int, int]], radius: int,
     return dealt.mapInArrow(released(_compare(files, radius, width, similar, with_sets)), "u array<long>, v array<long>")
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, words64: int = 1, tile: int = TILE, similar: tuple[int, int] | None = None) -> DataFrame:
-    """(u, v): links that join the same components as all links of the distinct fingerprints in nodes.fp do.
-
-    With similar, nodes.fp are signatures, linked if their sets' sizes allow that similarity, too.
-    """
+def links(nodes: DataFrame, radius: int = RADIUS, words64: int = 1, tile: int = TILE) -> DataFrame:
+    """(u, v): links that join the same components as all links of the distinct fingerprints in nodes.fp do."""
     spark = nodes.sparkSession
     counted = nodes.select("fp", F.aggregate(F.slice("fp", 1, words64), F.lit(0), lambda s, x: s + F.bit_count(x)).alias("ones"))
     # One row for each population count there is: 64 * words64 + 1 at most.
@@ -287,17 +354,118 @@ def links(nodes: DataFrame, radius: int = RADIUS, words64: int = 1, tile: int =
     plan = [(p, first, n) for low, high, first, n in runs for p in range(low, high + 1)]
     placed = counted.join(F.broadcast(few_rows(spark, plan, "ones int, first int, n int")), "ones")
     placed = placed.select((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).alias("tile"), "fp")
-    return _compared(placed, [(first, n, last[first]) for _, _, first, n in runs], radius, words64 + (2 if similar else 0), similar)
+    return _compared(placed, [(first, n, last[first]) for _, _, first, n in runs], radius, words64, None)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    found = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(found).combine_chunks() if found else None
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, radius: int, words64: int, seed: int, tile: int, similar: tuple[int, int], set_tile: int = SET_TILE) -> DataFrame:
+def _blocks(tile: int) -> Callable:
+    """For mapInArrow: (key, digest), all rows of a key together, as (block, digest, many): sets that share a key with another.
+
+    Keys with the same sets are one block; it is `many` if it has over a tile of sets. A sum of the digests' hashes names a
+    block; should two have one name, they are compared as one, and no link is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = _whole(batches)
+        if whole is None:
+            return
+        key, digest = (whole.column(c).to_numpy().view(np.uint64) for c in ("key", "digest"))
+        del whole
+        order = np.lexsort((digest, key))
+        key, digest = key[order], digest[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        kept = new | np.concatenate([[True], digest[1:] != digest[:-1]])
+        digest, starts = digest[kept], np.flatnonzero(new[kept])
+        sizes = np.diff(np.append(starts, len(digest)))
+        shared = sizes > 1
+        if not shared.any():
+            return
+        digest, sizes = digest[np.repeat(shared, sizes)], sizes[shared]
+        block = np.repeat(np.add.reduceat(_mixed(digest, 1), np.cumsum(sizes) - sizes), sizes)
+        many = np.repeat(sizes > tile, sizes)
+        order = np.lexsort((digest, block))
+        block, digest, many = block[order], digest[order], many[order]
+        kept = np.concatenate([[True], (block[1:] != block[:-1]) | (digest[1:] != digest[:-1]) | (many[1:] != many[:-1])])
+        out = pa.table([block[kept].view(np.int64), digest[kept].view(np.int64), many[kept]], ["block", "digest", "many"])
+        yield from out.to_batches(max_chunksize=10_000)
+
+    return run
+
+
+def _compare_blocks(radius: int, width: int, similar: tuple[int, int]) -> Callable:
+    """For mapInArrow: (block, fp), all rows of a block together, as (u, v), the links within blocks as a spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = _whole(batches)
+        if whole is None:
+            return
+        block, rows = whole.column("block").to_numpy(), _unsigned(whole.column("fp").combine_chunks()).reshape(-1, width)
+        _, first, place = np.unique(np.ascontiguousarray(rows).view(f"V{8 * width}").ravel(), return_index=True, return_inverse=True)
+        fp, order = rows[first], np.lexsort((place, block))
+        block, place = block[order], place[order]
+        kept = np.concatenate([[True], (block[1:] != block[:-1]) | (place[1:] != place[:-1])])  # of blocks that several tasks found
+        block, place = block[kept], place[kept]
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        counts = np.diff(np.append(starts, len(block)))
+        forest, sizes = Forest(len(fp)), fp[:, -1].astype(np.int64)
+        for n in range(2, SMALL + 1):
+            of, (x, y) = starts[counts == n], np.triu_indices(n, 1)
+            for some in (of[k : k + VOTES // len(x) + 1] for k in range(0, len(of), VOTES // len(x) + 1)):
+                u, v = (place[(some[:, None] + z).ravel()] for z in (x, y))
+                fits = _fit(sizes[u], sizes[v], similar)
+                u, v = u[fits], v[fits]
+                near = np.bitwise_count(fp[u, :-2] ^ fp[v, :-2]).sum(1, dtype=np.int32) <= radius
+                forest.join(u[near], v[near])
+        for start, n in zip(starts[counts > SMALL].tolist(), counts[counts > SMALL].tolist(), strict=True):
+            of = place[start : start + n]
+            found = np.array(tile_links(fp[of], fp[of], radius, True, similar), np.int64).reshape(-1, 2)
+            forest.join(of[found[:, 0]], of[found[:, 1]])
+        found = np.array(forest.links(), np.int64).reshape(-1, 2)
+        for part in (found[k : k + 10_000] for k in range(0, len(found), 10_000)):
+            u, v = (pa.array(list(fp.view(np.int64)[part[:, k]]), pa.list_(pa.int64())) for k in (0, 1))
+            yield pa.record_batch([u, v], ["u", "v"])
+
+    return run
+
+
+def links_in_blocks(nodes: DataFrame, keyed: DataFrame, radius: int, words64: int, tile: int, similar: tuple[int, int]) -> DataFrame:
+    """(u, v): links that join the same components as all pairs of nodes.fp within the radius, of fitting sizes, that share a key do.
+
+    keyed: fp and keys, for each fp of nodes at least once. Fingerprints are signatures.
+    """
+    spark, width = nodes.sparkSession, words64 + 2
+    digest = F.element_at("fp", words64 + 1).alias("digest")
+    # At most, about: a set's keys are what a similar one may lack, and one.
+    keys = keyed.agg(F.coalesce(F.sum(F.element_at("fp", -1)), F.lit(0)) * (similar[1] - similar[0]) / similar[1] + 2 * F.count("*")).first()[0]
+    pairs = keyed.select(digest, F.explode("keys").alias("key")).repartition(1 + int(keys) // TASK_KEYS, "key")
+    blocks = saved(pairs.mapInArrow(released(_blocks(tile)), "block long, digest long, many boolean"), "blocks")
+    large = [tuple(r) for r in blocks.filter("many").groupBy("block").agg(F.count_distinct("digest")).collect()]  # over a tile each
+    members = blocks.join(nodes.select("fp", digest), "digest")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, 1 + blocks.count() // TASK_ROWS)
+    few = members.filter("not many").select("block", "fp").repartition(tasks, "block")
+    found = few.mapInArrow(released(_compare_blocks(radius, width, similar)), "u array<long>, v array<long>")
+    if not large:
+        return found
+    tiles = [-(-n // tile) for _, n in large]
+    firsts = (np.cumsum(tiles) - tiles).tolist()
+    plan = few_rows(spark, [(block, first, n) for (block, _), first, n in zip(large, firsts, tiles, strict=True)], "block long, first int, n int")
+    placed = members.filter("many").join(F.broadcast(plan), "block")
+    placed = placed.select((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).alias("tile"), "fp").distinct()
+    return found.unionByName(_compared(placed, [(first, n, first + n - 1) for first, n in zip(firsts, tiles, strict=True)], radius, width, similar))
+
+
+def similar_links(nodes: DataFrame, keyed: DataFrame, texts: DataFrame, shingle: int, radius: int, words64: int, seed: int, tile: int, similar: tuple[int, int], set_tile: int = SET_TILE) -> DataFrame:
     """(u, v): links that join the same components as all pairs of signatures within the radius whose sets are similar.
 
-    nodes: fp and row, of one text with that set; texts: row and text. Pairs within the radius are first joined to groups,
-    unchecked; only texts of a group have their sets written, and only tiles of one group are compared.
+    nodes: fp and row, of one text with that set; keyed: fp and keys; texts: row and text. Pairs within the radius that share
+    a key are first joined to groups, unchecked; only texts of a group have their sets written, and only tiles of one group are compared.
     """
     spark = nodes.sparkSession
-    near = components(links(nodes.select("fp"), radius, words64, tile, similar))
+    near = components(links_in_blocks(nodes.select("fp"), keyed, radius, words64, tile, similar))
     near = near.select(F.col("u").alias("fp"), "root").unionByName(near.select(F.col("root").alias("fp"), "root").distinct())
     near = saved(nodes.join(near, "fp"), "near")
     # Tiles are bounded by the sizes of their sets, which signatures end with.
@@ -361,9 +529,13 @@ def one_of_each(
     rows = numbered(docs, row)
     texts = rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
     known = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = saved(fingerprints(known, shingle, words64, seed, signature), "fingerprints")
+    # Keys take a part of the texts' size: they go when the links are found, so that later stages have that disk.
+    path = shared_path(docs.sparkSession, "keyed")
+    keyed = saved(signatures(known, shingle, words64, seed, similar), "keyed", path)
+    prints = saved(keyed.drop("keys"), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    least = _least_of_component(prints, order, lambda nodes: similar_links(nodes.select("fp", "least.row"), texts, shingle, radius, words64, seed, tile, similar, set_tile))
+    least = _least_of_component(prints, order, lambda nodes: similar_links(nodes.select("fp", "least.row"), keyed.select("fp", "keys"), texts, shingle, radius, words64, seed, tile, similar, set_tile))
+    removed(docs.sparkSession, path)  # components are written by now
     kept = least.select(F.col("least")["row"].alias(row)).distinct()
     marked = looked_up(rows, row, kept.withColumn(stays, F.lit(True)), stays)
     return marked.filter(F.col(stays).isNotNull()).select(*columns_of(docs))

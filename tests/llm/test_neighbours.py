@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plusminus.llm import components, packing, queries, simhash, topk
-from plusminus.llm.common import pieces, word_lists
+from plusminus.llm.common import pieces, shared_dir, word_lists
 
 # --- top-k ------------------------------------------------------------------------------------------------------
 
@@ -251,3 +251,52 @@ def test_a_repeated_block_votes_once(spark, tmp_path):
     apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a[:4], b[:4], strict=True))
     prints = [simhash.signature(t, pipeline.SHINGLE, pipeline.WORDS64) for _, t in rows]
     assert apart(prints[0], prints[1]) <= 40 and apart(prints[12], prints[13]) > 60
+
+
+def test_similar_sets_share_a_key():
+    rng = random.Random(14)
+    for _ in range(3000):
+        n = rng.choice([1, 2, 3, 5, 9, 40, 200])
+        base = [rng.getrandbits(64) for _ in range(n)]
+        other = [x for x in base if rng.random() > 0.1] + [rng.getrandbits(64) for _ in range(rng.randrange(1 + n // 6))]
+        x, y = (np.unique(np.array(v, np.uint64)) for v in (base, other))
+        both = len(np.intersect1d(x, y))
+        if both and 5 * both >= 4 * (len(x) + len(y) - both):
+            assert len(np.intersect1d(simhash.block_keys(x, (4, 5)), simhash.block_keys(y, (4, 5))))
+    assert len(simhash.block_keys(np.zeros(0, np.uint64), (4, 5))) == 0
+
+
+@pytest.mark.parametrize("tile", [40, 8192])
+def test_blocks_lose_no_similar_pair(spark, tmp_path, tile):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng, rows = random.Random(15), []
+    common = [f"c{k}" for k in range(60)]  # a passage that is a third of many texts: large blocks of texts that aren't alike
+    for _ in range(150):
+        rows.append((len(rows), " ".join(common + [f"w{rng.randrange(10**6)}" for _ in range(120)])))
+    base = [f"b{k}" for k in range(200)]  # a large group of near copies, some just near enough and some just not
+    for k in range(200):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 4, 8])):
+            copy[rng.randrange(200)] = f"y{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + k, f"only {k % 3}") for k in range(9)] + [(len(rows) + 9, None), (len(rows) + 10, " ")]
+    docs = text_table(spark, tmp_path / "d", rows)
+    want = kept_by_hand([(i, t or "") for i, t in rows], pipeline.SHINGLE)
+    assert 160 < len(want) < 340  # the unlike ones and some of the near ones
+    kept = simhash.one_of_each(docs, pipeline.SHINGLE, pipeline.RADIUS, pipeline.WORDS64, similar=pipeline.SIMILAR, tile=tile)
+    assert {r.doc_id for r in kept.collect()} == want
+    assert not [n for n in os.listdir(shared_dir(spark).removeprefix("file://")) if n.startswith("keyed")]
+
+
+def test_unlike_texts_are_not_compared(spark, tmp_path, monkeypatch):
+    """Fingerprints compared grow with the near copies and not with the square of the texts."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(16)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(400)]
+    rows += [(400 + i, rows[i][1] + " more") for i in range(20)]
+    docs = text_table(spark, tmp_path / "d", rows)
+    prints = simhash.saved(simhash.signatures(docs, pipeline.SHINGLE, pipeline.WORDS64, simhash.SEED, pipeline.SIMILAR), "prints")
+    asked, compared = [], simhash._compared
+    monkeypatch.setattr(simhash, "_compared", lambda *a: asked.append(a) or compared(*a))
+    found = simhash.links_in_blocks(prints.select("fp"), prints.select("fp", "keys"), pipeline.RADIUS, pipeline.WORDS64, 8192, pipeline.SIMILAR)
+    assert found.count() == 20 and not asked
